@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hilbert_sharding, line_dedup, minhash_dedup, mixing, sentencepiece, toxicity
+from . import exact_dedup, hilbert_sharding, html_extraction, line_dedup, minhash_dedup, mixing, sentencepiece, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.coded_documents(_read(spark, sf_dir, "documents"), sentencepiece.spark_model_path(spark))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extraction_report(_read(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
