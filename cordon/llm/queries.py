@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hilbert_sharding, html_extraction, line_dedup, minhash_dedup, mixing, sentencepiece, toxicity
+from . import exact_dedup, hilbert_sharding, hnsw_dedup, html_extraction, line_dedup, minhash_dedup, mixing, sentencepiece, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_read(spark, sf_dir, "documents"))
 
 
+def op3_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.coded_documents(_read(spark, sf_dir, "documents"), sentencepiece.spark_model_path(spark))
 
@@ -65,6 +69,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
             FROM m GROUP BY doc_id""",
+        "op3_hnsw_dedup": """
+            WITH RECURSIVE ok AS (
+                SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+                WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            pairs AS (
+                SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+                WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+            reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+            least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+            links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+            SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+            FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN links ON links.a = e.vec_id""",
         "op8_exact_dedup": f"""
             WITH t AS (SELECT doc_id, {lower("coalesce(text, '')")} AS x FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(x) AS text_sha256
