@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hilbert_sharding, hnsw_dedup, html_extraction, line_dedup, minhash_dedup, mixing, sentencepiece, toxicity
+from . import exact_dedup, hilbert_sharding, hnsw_dedup, html_extraction, line_dedup, minhash_dedup, mixing, sentencepiece, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extraction_report(_read(spark, sf_dir, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(_read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -81,6 +85,17 @@ def oracle_sql() -> dict[str, str]:
             links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
             SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
             FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN links ON links.a = e.vec_id""",
+        "op6_substring_dedup": """
+            WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+            s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM w WHERE len(w) >= 50),
+            h AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM s),
+            m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM h) WHERE doc_id > least),
+            gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM m, (SELECT unnest(range(0, 50)) AS j)),
+            e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
+            k AS (SELECT e.*, g.pos IS NOT NULL AS gone FROM e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.pos = e.pos),
+            c AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM k GROUP BY doc_id)
+            SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+            FROM w LEFT JOIN c USING (doc_id)""",
         "op8_exact_dedup": f"""
             WITH t AS (SELECT doc_id, {lower("coalesce(text, '')")} AS x FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(x) AS text_sha256
