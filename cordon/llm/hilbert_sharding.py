@@ -12,7 +12,7 @@ rows; other columns of the input, whatever their names, are not read.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,29 +20,33 @@ from pyspark.sql import functions as F
 from .shared import positions
 
 
-def hilbert_index(cells: list[Column], bits: int) -> Column:
-    """The Hilbert index of integer cells of `bits` bits each (Skilling's transposition, one fold over its steps)."""
-    n = len(cells)
-    bit = lambda k: 1 << k
-    x = F.array(*[c.cast("long") for c in cells])
-    steps = [(bit(k), i) for k in range(bits - 1, 0, -1) for i in range(n)]
-    if steps and n > 1:
-        as_col = F.array(*[F.struct(F.lit(q).cast("long").alias("q"), F.lit(i).alias("i")) for q, i in steps])
+def with_hilbert(df: DataFrame, cells: list[Column], bits: int, name: str) -> DataFrame:
+    """df with `name`, the Hilbert index of integer cells of `bits` bits each (Skilling's transposition).
 
-        def step(acc: Column, s: Column) -> Column:
-            low, mine, first = s.q - 1, F.get(acc, s.i), F.get(acc, F.lit(0))
-            swap = first.bitwiseXOR(mine).bitwiseAND(low)
-            flip = mine.bitwiseAND(s.q) != 0
-            return F.transform(acc, lambda v, j: F.when(flip & (j == 0), v.bitwiseXOR(low)).when(~flip & ((j == 0) | (j == s.i)), v.bitwiseXOR(swap)).otherwise(v))
-
-        x = F.aggregate(as_col, x, step)
-    # Gray code: running exclusive or, then the correction from the last one
-    gray = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.aggregate(F.slice(x, F.lit(1), j + 1), F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v)))
-    last = F.get(gray, F.lit(n - 1))
-    fix = F.aggregate(F.array(*[F.lit(bit(k)).cast("long") for k in range(bits - 1, 0, -1)]) if bits > 1 else F.array().cast("array<bigint>"), F.lit(0).cast("long"), lambda t, q: F.when(last.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
-    out = F.transform(gray, lambda v: v.bitwiseXOR(fix))
-    order = F.array(*[F.struct(F.lit(bit(k)).cast("long").alias("q"), F.lit(i).alias("i")) for k in range(bits - 1, -1, -1) for i in range(n)])
-    return F.aggregate(order, F.lit(0).cast("long"), lambda a, s: a * 2 + F.when(F.get(out, s.i).bitwiseAND(s.q) != 0, 1).otherwise(0))
+    Every step is a projection of its own over plain integers, which stay in generated code; one nested
+    expression would compute earlier steps again for each use.
+    """
+    n, x = len(cells), [f"__x{i}" for i in range(len(cells))]
+    df = df.withColumns({x[i]: c.cast("long") for i, c in enumerate(cells)})
+    at = lambda i: F.col(x[i])
+    for k in range(bits - 1, 0, -1):
+        q, low = 1 << k, (1 << k) - 1
+        for i in range(n):
+            high = at(i).bitwiseAND(F.lit(q)) != 0
+            if i == 0:
+                df = df.withColumns({x[0]: F.when(high, at(0).bitwiseXOR(F.lit(low))).otherwise(at(0))})
+            else:
+                swap = at(0).bitwiseXOR(at(i)).bitwiseAND(F.lit(low))
+                df = df.withColumns({x[0]: at(0).bitwiseXOR(F.when(high, F.lit(low)).otherwise(swap)), x[i]: F.when(high, at(i)).otherwise(at(i).bitwiseXOR(swap))})
+    # Gray code: each cell with all before it, then a correction from the last one
+    xor = lambda cs: reduce(lambda a, b: a.bitwiseXOR(b), cs)
+    df = df.withColumns({x[i]: xor([at(j) for j in range(i + 1)]) for i in range(n)})
+    fix = xor([F.lit(0).cast("long"), *[F.when(at(n - 1).bitwiseAND(F.lit(1 << k)) != 0, F.lit((1 << k) - 1)).otherwise(F.lit(0)) for k in range(bits - 1, 0, -1)]])
+    df = df.withColumn("__fix", fix)
+    df = df.withColumns({c: F.col(c).bitwiseXOR(F.col("__fix")) for c in x})
+    places = [(k, i) for k in range(bits - 1, -1, -1) for i in range(n)]
+    index = xor([F.shiftleft(F.shiftright(at(i), k).bitwiseAND(F.lit(1)), len(places) - 1 - p) for p, (k, i) in enumerate(places)])
+    return df.withColumn(name, index).drop("__fix", *x)
 
 
 def _below(value: Column, edge: Column) -> Column:
@@ -78,7 +82,7 @@ def shard_rows(docs: DataFrame, dims: tuple[str, ...] = ("source", "lang", "size
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", *[d for d in dims if d != "size"], (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    keyed = base.select("doc_id", "size", "text_crc32", hilbert_index(quantised(base, list(dims), bits), bits).alias("curve"))
+    keyed = with_hilbert(base, quantised(base, list(dims), bits), bits, "curve").select("doc_id", "size", "text_crc32", "curve")
     order = ["curve", "doc_id", "text_crc32", "size"]
     rows = positions(keyed, order, "hilbert", order)
     n = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
