@@ -55,6 +55,7 @@ class Window:
     text: str
     first: list[int] | None
     end: list[int] | None
+    original: bytes = b""
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         """Bytes of the stream for shadow characters [a, b)."""
@@ -113,7 +114,7 @@ class Cutter:
         raw = self.buffer[:cut]
         text, first, end = shadow(raw.decode("utf-8", "surrogatepass"))
         release = cut if last else self._release_point(raw, text, first)
-        out = Window(self.base, self.base + cut, release, last, text, first, end)
+        out = Window(self.base, self.base + cut, release, last, text, first, end, raw)
         self.buffer, self.base = self.buffer[release:], self.base + release
         self.checked, self.first = cut - release, False
         return out
