@@ -48,12 +48,12 @@ class Guarded:
 
     def report(self, df: DataFrame, text: str = "text", key: str = "doc_id", fail_on_warn: bool = False) -> tuple[DataFrame, DataFrame]:
         """(lines, summary) of all findings."""
-        found = self.findings(df, text, key)
+        found = self.findings(df, text, key).persist()
         return report.lines(found, df, text, key), report.summary(found, df, self.policy.audience, key, fail_on_warn)
 
     def filter(self, df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
         """(released, findings): what may pass on, and the findings up to where it stops."""
-        found = self.findings(df, text, key)
+        found = self.findings(df, text, key).persist()
         return guard.released(df, found, text, key), guard.filter_findings(found, key)
 
     def stream(self, chunks: DataFrame, mode: str = "filter", format: str = "raw") -> DataFrame:

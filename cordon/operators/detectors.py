@@ -105,16 +105,14 @@ def _lines(df: DataFrame) -> DataFrame:
 
 
 def _hits(df: DataFrame, line: str, patterns: list[tuple[int, str, str]], names: list[str]) -> DataFrame:
-    out = df.withColumns({f"__m{i}": F.regexp_extract_all(line, F.lit(p), F.lit(0)) for i, _, p in patterns})
-    out = out.where(sum((F.size(f"__m{i}") for i, _, _ in patterns), F.lit(0)) > 0)
-    found = []
-    for i, kind, p in patterns:
-        m = F.col(f"__m{i}")
-        places = F.when(F.size(m) > 0, _positions(F.split(line, p, -1), m)).otherwise(F.array().cast("array<int>"))
-        found.append(_rows(places, m, kind, i))
-    out = out.withColumn("__hit", F.explode(F.concat(*found)))
+    found = [F.struct(F.lit(k).alias("kind"), F.lit(i).alias("ord"), F.regexp_extract_all(line, F.lit(p), F.lit(0)).alias("m")) for i, k, p in patterns]
+    out = df.withColumn("__k", F.explode(F.filter(F.array(*found), lambda x: F.size(x.m) > 0)))
+    # positions only for the few lines and patterns with a match
+    pattern = F.element_at(F.create_map(*[F.lit(x) for i, _, p in patterns for x in (i, p)]), F.col("__k.ord"))
+    out = out.withColumn("__p", _positions(F.split(line, pattern, -1), F.col("__k.m")))
+    out = out.withColumn("__hit", F.explode(F.arrays_zip(F.col("__p").alias("at"), F.col("__k.m").alias("match"))))
     at = F.col("__hit.at") + F.col("__start")
-    return out.select(*names, "__t", F.col("__hit.kind").alias("__kind"), F.col("__hit.ord").alias("__ord"), at.alias("__at"), F.col("__hit.match").alias("__match")).where("__match <> ''")
+    return out.select(*names, "__t", F.col("__k.kind").alias("__kind"), F.col("__k.ord").alias("__ord"), at.alias("__at"), F.col("__hit.match").alias("__match")).where("__match <> ''")
 
 
 def candidates(df: DataFrame, text: Column, detectors: list[str] | None = None, custom: dict[str, str] | None = None) -> DataFrame:
@@ -128,10 +126,6 @@ def candidates(df: DataFrame, text: Column, detectors: list[str] | None = None,
     return found[0].unionByName(found[1]) if len(found) > 1 else found[0]
 
 
-def _rows(places: Column, matches: Column, kind: str, ord_: int) -> Column:
-    return F.zip_with(places, matches, lambda a, m: F.struct(F.lit(kind).alias("kind"), F.lit(ord_).alias("ord"), a.alias("at"), m.alias("match")))
-
-
 def detect(df: DataFrame, shadow: str, detectors: list[str] | None = None, allow: Allow | None = None, custom: dict[str, str] | None = None, corsica: str = "double") -> DataFrame:
     """df (with a struct column `shadow`) with one row for each detection, and without the text.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -222,7 +223,8 @@ def findings_by_audience(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- guard and reports
 
 def _report(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return guard.findings(_notes(spark, sf_dir), Policy(Rules.builtin()), **options)
+    # findings are few against the text; kept, as most reports read them more than once
+    return guard.findings(_notes(spark, sf_dir), Policy(Rules.builtin()), **options).persist()
 
 
 def seg_windows_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +256,7 @@ def guard_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def guard_events_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the filter in order, with the bytes that they release."""
     notes = _notes(spark, sf_dir)
-    out = guard.events(notes, guard.findings(notes))
+    out = guard.events(notes, _report(spark, sf_dir))
     return out.select("doc_id", "seg_no", "ord", "kind", F.col("n").cast("long").alias("n"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
 
 
@@ -299,16 +301,25 @@ def utf8_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", sources.utf8_status(F.col("raw")).alias("whole"), sources.utf8_status(cut).alias("cut"))
 
 
-def stream_guard_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per conversation, its turns as chunks through the stream's guard, beside the batch over the joined text."""
+def _streamed(spark: SparkSession, chunks: DataFrame) -> DataFrame:
+    """chunks, written as files to the shared folder and run as a stream from there; its events."""
     from .streaming.guard_stream import guard_stream
 
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
+    chunks.write.parquet(f"{folder}/in")
+    events = guard_stream(spark.readStream.schema(chunks.schema).parquet(f"{folder}/in"), mode="report")
+    sources.write_events(events, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{folder}/out")
+
+
+def stream_guard_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, its turns as chunks through the stream's guard, beside the batch over the joined text."""
     turns = _read(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").select(F.col("conv_id").alias("doc_id"), "turn", F.concat(F.coalesce("text", F.lit("")), F.lit("\n Ref: 4556 7375 8689 9855 - noted. ")).alias("text"))
     number = F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY turn, text)")
     turns = turns.withColumn("seq", number.cast("long") - 1)
     last = turns.groupBy("doc_id").agg(F.max("seq").alias("last"))
     chunks = turns.join(last, "doc_id").select(F.col("doc_id").alias("stream_id"), "seq", "text", (F.col("seq") == F.col("last")).alias("eos"))
-    streamed = guard_stream(chunks, mode="report").groupBy("stream_id").agg(F.sum(F.when(F.col("kind") == "release", F.octet_length("text")).otherwise(0)).alias("stream_bytes"), F.sum(F.size("findings")).alias("stream_findings"))
+    streamed = _streamed(spark, chunks).groupBy("stream_id").agg(F.sum(F.when(F.col("kind") == "release", F.octet_length("text")).otherwise(0)).alias("stream_bytes"), F.sum(F.size("findings")).alias("stream_findings"))
     whole = turns.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x.text), "").alias("text"))
     found = guard.findings(whole).groupBy("doc_id").agg(F.count("*").alias("batch_findings"))
     out = whole.select("doc_id", F.octet_length("text").cast("long").alias("batch_bytes")).join(found, "doc_id", "left")

@@ -54,7 +54,7 @@ def iban(s: str) -> str:
     moved = f"(substr({s}, 5) || substr({s}, 1, 4))"
     values = f"list_transform(range(1, length({s}) + 1), lambda i: {_value(f'substr({moved}, i, 1)')}::BIGINT)"
     rest = f"list_reduce(list_prepend(0::BIGINT, {values}), lambda r, v: CASE WHEN v >= 10 THEN r * 100 + v ELSE r * 10 + v END % 97)"
-    return f"(regexp_full_match({s}, '[0-9A-Z]{{2}}[0-9]{{2}}[0-9A-Z]+') AND {rest} = 1)"
+    return f"(coalesce(regexp_full_match({s}, '[0-9A-Z]{{2}}[0-9]{{2}}[0-9A-Z]+'), false) AND {rest} = 1)"
 
 
 def us_ssn(d: str) -> str:
@@ -125,10 +125,11 @@ def phone_valid(kind: str, m: str, phones=()) -> str:
 
 
 def iban_prefix(m: str) -> str:
-    """The valid prefix; countries' lengths make the pattern, so it is found by length."""
-    spaced = "(CASE " + " ".join(f"WHEN {iban_length(f'substr({m}, 1, 2)')} = {n} THEN regexp_extract({m}, '^(?: ?[A-Z0-9]){{{n}}}')" for n in V.IBAN_LENGTHS) + " END)"
-    compact = f"replace({spaced}, ' ', '')"
-    return f"(CASE WHEN {spaced} <> '' AND {iban(compact)} THEN {spaced} END)"
+    """The valid prefix: as many characters as hold the country's length without spaces."""
+    n = iban_length(f"substr({m}, 1, 2)")
+    end = f"list_min(list_filter(range(1, length({m}) + 1), lambda k: length(replace(substr({m}, 1, k), ' ', '')) = {n}))"
+    compact = f"substr(replace({m}, ' ', ''), 1, {n})"
+    return f"(CASE WHEN {iban(compact)} THEN substr({m}, 1, {end}) END)"
 
 
 def accepted(kind: str, m: str, t: str, start: str) -> str:
@@ -155,11 +156,11 @@ def detections(source: str, keys: str, kind: str, pattern: str | None = None, id
     p = text(pattern or V.PATTERNS[kind])
     ord_ = list(V.PATTERNS).index(kind) if kind in V.PATTERNS else len(V.PATTERNS)
     found = iban_prefix("match") if kind == "iban" else "match"
-    rule = accepted(kind, "match", "t", "at") if kind in V.PATTERNS else "true"
+    rule = accepted(kind, "match", "t", "cpos") if kind in V.PATTERNS else "true"
     size = lambda xs, f: f"coalesce(list_sum(list_transform({xs}, lambda x: {f}(x))), 0)"
     return f"""SELECT {keys}, {text(id_ or V.IDS[kind])} AS id, {text(category or V.CATEGORY_OF[kind])} AS category, {ord_} AS ord, start::BIGINT AS "start", (start + strlen(found))::BIGINT AS "end", found, t
         FROM (SELECT *, {found} AS found FROM (
-            SELECT {keys}, t, m[i] AS match, {size('g[1:i]', 'strlen')} + {size('m[1:i - 1]', 'strlen')} AS start, {size('g[1:i]', 'length')} + {size('m[1:i - 1]', 'length')} AS at
+            SELECT {keys}, t, m[i] AS match, {size('g[1:i]', 'strlen')} + {size('m[1:i - 1]', 'strlen')} AS start, ({size('g[1:i]', 'length')})::BIGINT + ({size('m[1:i - 1]', 'length')})::BIGINT AS cpos
             FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {keys}, t, regexp_extract_all(t, {p}) AS m, string_split_regex(t, {p}) AS g FROM {source} WHERE regexp_matches(t, {p}))))
         WHERE {rule})"""
 
@@ -183,6 +184,6 @@ def windows(source: str, first_min=100, least=240, most=800, overlap=64) -> str:
                                 SELECT *, substr(buf, from_ + 1, limit_ - from_ + 1) AS part FROM (
                                     SELECT *, substr(text, base + 1) AS buf, length(text) - base AS n, CASE WHEN first THEN {first_min} ELSE {least} END AS least_,
                                            greatest((CASE WHEN first THEN {first_min} ELSE {least} END) - 1, checked) AS from_, greatest({most}, checked + 1) AS limit_
-                                    FROM st WHERE NOT is_last AND length(text) > base)))))))
+                                    FROM st WHERE NOT is_last AND length(text) > base))))))
         ),
         w AS (SELECT doc_id, seg_no, win_start, cut, release, is_last, substr(text, win_start + 1, cut - win_start) AS t FROM st WHERE seg_no >= 0)"""
