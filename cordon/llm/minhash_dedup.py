@@ -7,11 +7,11 @@ sent to executors doesn't grow. Improved consistent weighted sampling (Ioffe) dr
 whose chance to agree is the weighted Jaccard similarity; texts that agree in a whole band are candidates and
 are linked only when their exact weighted Jaccard similarity is at least `similarity`.
 
-Rows with equal texts are one class from the start. In each band bucket every text is compared with the
-bucket's smallest one; then the texts of a bucket that are still in different components are compared
-(directly in small buckets; large ones are dealt anew by further samples first and the same is repeated), so
-work grows with the members of a bucket, not with their pairs, and no link between components is left out
-that a direct comparison within the bucket would find, but for the chance of those further samples.
+Rows with equal texts are one class from the start. In a small bucket all texts are compared; in a large one
+each text with three pivots (the smallest and largest id, and one drawn by hash), so work grows with the
+members, not with their pairs. Texts of large buckets that are then still in different components are dealt
+anew by bands of more samples, where only texts that are nearer meet, and the same is repeated. Misses are
+left to the chance of the samples alone, of which the tests and the README give figures.
 
 Cases: null and empty texts (no words) are equal texts of one class; very long texts take their samples in
 slices of shingles; ties go to the smallest doc_id; rows that share a doc_id count as one document, a null
@@ -21,6 +21,7 @@ doc_id is the smallest id; an empty table gives no rows; other columns, whatever
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,9 +134,9 @@ class Sampler:
         return won
 
 
-def signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
+def signatures(docs: DataFrame, idf, n_samples: int) -> DataFrame:
     """id, k1, k2 (128-bit key of the text), samples for each row of docs; no samples where there is no word."""
-    sampler = Sampler(bands * rows)
+    sampler = Sampler(n_samples)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -175,53 +176,78 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Data
     return both.mapInPandas(check, "a long, b long")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Pairs of each member of a bucket with the bucket's smallest member."""
-    least = members.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return members.join(least, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+def _keys(samples: str, level: int, bands: int, rows: int, of: int) -> list:
+    """The band keys of a level: disjoint samples on level 0, then drawn ones, more for each key."""
+    if level == 0:
+        picks = [range(i * rows, (i + 1) * rows) for i in range(bands)]
+    else:
+        draw = random.Random(level)
+        picks = [draw.sample(range(of), rows) for _ in range(bands)]
+    return [F.xxhash64(F.lit(level), F.lit(i), *[F.get(samples, F.lit(k)) for k in pick]) for i, pick in enumerate(picks)]
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 12, rows: int = 4, direct: int = 64, rounds: int = 3) -> DataFrame:
-    """id, class_id for each row of docs; class_id is the smallest id among the texts that links reach."""
-    spark = docs.sparkSession
+def _members(own: DataFrame, keys: list) -> DataFrame:
+    """id, bucket of the texts that share a bucket with another, and n, how many do."""
+    all_ = own.where(F.size("samples") > 0).select(F.col("rep").alias("id"), F.explode(F.array(*keys)).alias("bucket"))
+    sizes = all_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("p0"), F.max("id").alias("p1"), F.min_by("id", F.xxhash64("id", "bucket")).alias("p2")).where("n > 1")
+    return all_.join(sizes, "bucket")
+
+
+def _candidates(members: DataFrame, direct: int) -> DataFrame:
+    """Pairs (a < b): all of a small bucket; in others each member with three pivots."""
+    small = members.where(F.col("n") <= direct).select("bucket", "id")
+    all_ = small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), "bucket").where("a < b").select("a", "b")
+    large = members.where(F.col("n") > direct)
+    for p in ("p0", "p1", "p2"):
+        all_ = all_.union(large.where(F.col("id") != F.col(p)).select(F.least("id", p), F.greatest("id", p)))
+    return all_.distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, levels: tuple[tuple[int, int], ...] = ((12, 4), (36, 8), (48, 12)), direct: int = 8) -> DataFrame:
+    """id, class_id for each row of docs; class_id is the smallest id among the texts that links reach.
+
+    levels: (bands, samples for each band). A later level takes only texts of buckets whose texts are not yet
+    all in one component.
+    """
+    spark, n_samples = docs.sparkSession, levels[0][0] * levels[0][1]
     idf = spark.sparkContext.broadcast(idf_table(document_frequencies(docs)))  # BUCKETS floats
-    signed = table(signatures(docs, idf, bands, rows), "near-signatures")
+    signed = table(signatures(docs, idf, n_samples), "near-signatures")
     own = signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("samples").alias("samples"))
     own = table(own, "near-texts")
-    parts = F.array(*[F.xxhash64(F.lit(i), *[F.get("samples", F.lit(i * rows + j)) for j in range(rows)]) for i in range(bands)])
-    members = own.where(F.size("samples") > 0).select(F.col("rep").alias("id"), F.explode(parts).alias("bucket"))
-    members = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "bucket", "left_semi").select("id", "bucket")
-    members = table(members, "near-members")
-    wanted = members.select("id").distinct()
+    members = table(_members(own, _keys("samples", 0, *levels[0], n_samples)), "near-members")
     base = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
-    texts = table(base.join(wanted, "id"), "near-candidates")
-    links, labels = None, None
-    for level in range(rounds):
-        star = _stars(members)
-        if links is not None:
-            star = star.join(links, ["a", "b"], "left_anti")
-        found = table(verified(star, texts, idf, similarity), "near-links")
-        links = found if links is None else table(links.union(found), "near-links")
-        labels = components(links, "a", "b")
-        # what is left: texts of a bucket in different components
-        at = members.join(labels.withColumnRenamed("v", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        mixed = at.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("mixed")
-        left = table(at.join(mixed.select("bucket", "n"), "bucket"), "near-left")
-        small = left.where(F.col("n") <= direct)
-        pairs = small.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca")).join(small.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb")), "bucket")
-        pairs = pairs.where("a < b and ca <> cb").select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
-        found = table(verified(pairs, texts, idf, similarity), "near-links")
-        links = table(links.union(found), "near-links")
-        large = left.where(F.col("n") > direct)
-        if level == rounds - 1 or not large.limit(1).count():
+    texts = table(base.join(members.select("id").distinct(), "id").dropDuplicates(["id"]), "near-candidates")
+    collect_garbage(spark)
+    # label: the component of each text that has links so far
+    labels = None
+    for level in range(len(levels)):
+        pairs = _candidates(members, direct)
+        if labels is None:
+            found = verified(pairs, texts, idf, similarity)
+            labels = table(components(table(found, "near-links"), "a", "b").withColumnRenamed("v", "id"), "near-labels")
+        else:
+            # only pairs that would join two components; these are then joined as wholes
+            of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+            apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+            found = table(verified(apart, texts, idf, similarity), "near-links")
+            joint = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+            joint = components(joint, "a", "b")
+            # labels of texts with links before, and of texts whose first link this is
+            old = labels.join(joint.withColumnRenamed("component", "new"), F.col("component") == F.col("v"), "left").select("id", F.coalesce("new", "component").alias("component"))
+            new = joint.join(labels.select(F.col("id").alias("v")), "v", "left_anti").select(F.col("v").alias("id"), "component")
+            labels = table(old.union(new), "near-labels")
+        if level == len(levels) - 1:
+            break
+        large = members.where(F.col("n") > direct).join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+        mixed = large.groupBy("bucket").agg((F.min("c") != F.max("c")).alias("mixed")).where("mixed").select("bucket")
+        left = table(large.join(mixed, "bucket", "left_semi").select(F.col("id").alias("rep")).distinct(), "near-left")
+        discard(members)
+        members = table(_members(own.join(left, "rep", "left_semi"), _keys("samples", level + 1, *levels[level + 1], n_samples)), "near-members")
+        if not members.limit(1).count():
             break
-        # deal large mixed buckets anew: by further samples, each bucket into several divisions
-        again = [F.xxhash64("bucket", F.lit(i), *[F.get("samples", F.lit((i * rows + j * (level + 2) * 5) % (bands * rows))) for j in range(rows)]) for i in range(bands)]
-        members = table(large.join(own.select(F.col("rep").alias("id"), "samples"), "id").select("id", F.explode(F.array(*again)).alias("bucket")), "near-members")
-    labels = table(components(links, "a", "b"), "near-components")
     discard(texts, members)
     collect_garbage(spark)
-    classes = own.select("k1", "k2", "rep").join(labels, own.rep == labels.v, "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
+    classes = own.select("k1", "k2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
     return signed.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "class_id")
 
 
