@@ -1,6 +1,6 @@
 """The shadow text that detectors read, and the way from its characters back to bytes of the original.
 
-Plain ASCII text without a fold is its own shadow and stays in the JVM. For other text a pandas UDF folds
+Text of characters that stay as they are, without a fold, is its own shadow and stays in the JVM. For other text a pandas UDF folds
 bracketed at/dot, drops invisible characters, folds dashes and normalizes each character by itself.
 """
 
@@ -19,8 +19,10 @@ from . import values as V
 
 _FOLD = re.compile("|".join(re.escape(x) for xs in V.FOLDS.values() for x in xs), re.I | re.A)
 _ODD = re.compile(r"[^\x00-\x7F]|" + _FOLD.pattern, re.I | re.A)
+#: Characters beyond ASCII that are their own shadow: Latin, Greek and Cyrillic letters, quotes, kana, CJK.
+SAME = [(0xC0, 0xFF), (0x100, 0x131), (0x391, 0x3A1), (0x3B1, 0x3C9), (0x400, 0x481), (0x2018, 0x201F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF)]
 #: Texts that need the slow way.
-NEEDS_SHADOW = r"[^\x00-\x7F]|(?i)[\[({](?:at|dot)[\])}]"
+NEEDS_SHADOW = "[^\\x00-\\x7F" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in SAME) + r"]|(?i)[\[({](?:at|dot)[\])}]"
 
 
 def _in(c: int, ranges: list[tuple[int, int]]) -> bool:
@@ -39,7 +41,9 @@ def shadow_char(c: str) -> str:
 
 def shadow(text: str) -> tuple[str, list[int] | None, list[int] | None]:
     """(shadow, first byte, end byte): bytes of the original for each character of the shadow; None where it is the text."""
-    if not _ODD.search(text):
+    if text.isascii() and not _FOLD.search(text):
+        return text, None, None
+    if all(c <= "\x7f" or shadow_char(c) == c for c in set(text)) and not _FOLD.search(text):
         return text, None, None
     out, first, end, at, byte = [], [], [], 0, 0
     for m in _ODD.finditer(text):
@@ -73,12 +77,16 @@ def _shadow_udf(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "first", "end"])
 
 
+def needs_shadow(text: Column) -> Column:
+    return F.coalesce(text.rlike(NEEDS_SHADOW), F.lit(False))
+
+
 def with_shadow(df, column: str, to: str = "__shadow"):
     """df with `to`: struct of text, first, end; first and end are null where the shadow is the text.
 
-    Rows of plain ASCII take the native branch, and only the others are sent to Python.
+    Rows of texts that are their own shadow take the native branch, and only the others are sent to Python.
     """
-    plain = ~F.coalesce(F.col(column).rlike(NEEDS_SHADOW), F.lit(False))
+    plain = ~needs_shadow(F.col(column))
     none = F.lit(None).cast("array<int>")
     own = df.where(plain).withColumn(to, F.struct(F.col(column).alias("text"), none.alias("first"), none.alias("end")))
     return own.unionByName(df.where(~plain).withColumn(to, _shadow_udf(column)))

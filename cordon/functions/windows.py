@@ -60,7 +60,8 @@ class Window:
     def span(self, a: int, b: int) -> tuple[int, int]:
         """Bytes of the stream for shadow characters [a, b)."""
         if self.first is None:
-            return self.start + a, self.start + b
+            before = len(self.text[:a].encode("utf-8", "surrogatepass"))
+            return self.start + before, self.start + before + len(self.text[a:b].encode("utf-8", "surrogatepass"))
         return self.start + self.first[a], self.start + self.end[b - 1]
 
 
@@ -88,10 +89,11 @@ class Cutter:
     def _release_point(self, raw: bytes, text: str, first: list[int] | None) -> int:
         overlap = self.sizes.overlap
         if first is None:
-            n = len(text)
-            if n <= overlap:
+            if len(raw) <= overlap:
                 return 0
-            point = n - overlap
+            point = len(raw) - overlap
+            while not _is_boundary(raw, point):
+                point -= 1
         else:
             coded = text.encode("utf-8", "surrogatepass")
             if len(coded) <= overlap:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from ..functions import values as V
 from ..functions.plain import Allow
-from ..functions.shadow import with_shadow
+from ..functions.shadow import needs_shadow, with_shadow
 from ..plans.rules import checked_pattern
 
 #: A text without any of these has no built-in identifier.
@@ -22,6 +22,11 @@ ANY = r"@|[0-9][ -]?[0-9]|[A-Z0-9<]{9}"
 _DIGITS = "[^0-9]"
 
 
+def may_hold(text: Column) -> Column:
+    """May the text hold a built-in identifier? For a text that is its own shadow this says so; others are decided later."""
+    return text.rlike(ANY) | needs_shadow(text)
+
+
 def email_allowed(match: Column, allow: Allow) -> Column:
     email = F.lower(match)
     domain = F.substring_index(email, "@", -1)
@@ -150,8 +155,8 @@ def detect(df: DataFrame, shadow: str, detectors: list[str] | None = None, allow
         look(ids).alias("id"),
         look(categories).alias("category"),
         F.col("__ord").alias("ord"),
-        F.coalesce(F.get("__first", at), at).cast("long").alias("start"),
-        F.coalesce(F.get("__end", F.col("__to") - 1), F.col("__to")).cast("long").alias("end"),
+        F.coalesce(F.get("__first", at), F.octet_length(F.left("__t", at))).cast("long").alias("start"),
+        F.coalesce(F.get("__end", F.col("__to") - 1), F.octet_length(F.left("__t", F.col("__to")))).cast("long").alias("end"),
         at.alias("__from"),
         "__to",
         F.length("__t").alias("__length"),
@@ -164,7 +169,6 @@ def scan(df: DataFrame, text: str = "text", detectors: list[str] | None = None,
     keep = [c for c in df.columns if c != text]
     base = df.select(*keep, text).where(F.col(text).isNotNull())
     if not custom:
-        # the shadow keeps ASCII letters and digits, so this is certain for plain text and decided later for the rest
-        base = base.where(F.col(text).rlike(ANY) | F.col(text).rlike(r"[^\x00-\x7F]|\[|\(|\{"))
+        base = base.where(may_hold(F.col(text)))
     found = detect(with_shadow(base, text).drop(text), "__shadow", detectors, allow, custom, corsica)
     return found.select(*keep, "id", "category", "ord", "start", "end")

@@ -17,7 +17,7 @@ from ..functions import plain
 from ..functions.plain import Allow
 from ..functions.windows import Sizes, windows
 from ..plans.rules import Policy, Rules
-from .detectors import ANY, detect
+from .detectors import ANY, detect, may_hold
 
 _INTS = T.ArrayType(T.IntegerType())
 _SHADOW = T.StructType([T.StructField("text", T.StringType()), T.StructField("first", _INTS), T.StructField("end", _INTS)])
@@ -79,7 +79,9 @@ def findings(
     A finding that several windows show is reported by the first of them. It never holds the text it flags.
     """
     policy = policy or Policy(Rules.builtin())
-    windows_ = segments(df.select(key, text), text, sizes, None if custom else ANY)
+    # windows are cut in Python, so texts without any chance of a finding are left out before
+    base = df.select(key, text) if custom else df.select(key, text).where(may_hold(F.col(text)))
+    windows_ = segments(base, text, sizes, None if custom else ANY)
     found = detect(windows_, "shadow", None, allow, custom, corsica)
     # a match that touches the open end is judged in the next window, with all its context
     open_end = ~F.col("is_last") & (F.col("__to") == F.col("__length")) & (F.col("win_start") + F.col("start") >= F.col("release"))

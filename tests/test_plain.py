@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cordon.functions import plain
+from cordon.functions import shadow as shadows
 from cordon.functions.plain import Allow, Detectors
 from cordon.functions.shadow import shadow
 from cordon.functions.windows import Sizes, windows
@@ -104,9 +105,15 @@ def test_shadow():
     hidden = "4​1⁠１"
     assert shadow(hidden)[0] == "411" and shadow(hidden)[2][-1] == len(hidden.encode())
     assert shadow("555–0100 x")[0] == "555-0100 x"
+    assert shadow("naïve “x”")[1] is None and shadow("½")[0] == "1⁄2"
     assert shadow("[at)")[0] == "[at)" and shadow("（at）")[0] == "(at)"
 
 
+def test_characters_that_stay_as_they_are():
+    for a, b in shadows.SAME:
+        assert all(shadows.shadow_char(chr(c)) == chr(c) for c in range(a, b + 1)), hex(a)
+
+
 def _stream(sizes, chunks, audience="site", mode="filter"):
     guard = StreamGuard.of(Policy(Rules.builtin(), audience), Detectors(), sizes=sizes, mode=mode)
     out = [e for c in chunks for e in guard.push(c)] + guard.finish()
