@@ -101,11 +101,12 @@ def _rate(p: Column, residuals: list[list[float]], start: float, least: float, r
     return F.aggregate(steps, zero, step)
 
 
-def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | None = None, least: float = 0.0, steps: int = 40, close: float = 1e-4, ridge: float = 1e-3) -> tuple[DataFrame, DataFrame, list[int]]:
+def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | None = None, least: float = 0.0, growth: float = math.inf, steps: int = 40, close: float = 1e-4, ridge: float = 1e-3) -> tuple[DataFrame, DataFrame, list[int]]:
     """(rows, cells, domains): each document with its cell's features, and cells with posteriors `p` and `rate`.
 
     With least = 0 the targets are shares of the tokens there are. With least > 0 (no document gets a lower
-    rate) they are shares of as many tokens as that takes.
+    rate) they are shares of as many tokens as that takes, but of at most `growth` times those there are; beyond
+    that the fit is the nearest one that keeps the rates.
     """
     targets = TARGETS if targets is None else targets
     rows = table(features(docs), "mixing-rows")
@@ -121,7 +122,7 @@ def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | No
     share = [share[d] / scale if scale else 1 / k for d in domains]
     wanted = total
     if least > 0 and total:
-        wanted = least * max(t / max(s, 1e-6) for t, s in zip(there, share) if t > 0)
+        wanted = min(growth * total, least * max(t / max(s, 1e-6) for t, s in zip(there, share) if t > 0))
     goal, start = [wanted * s for s in share], (wanted / total if total else 1.0)
     residuals: list[list[float]] = []
     for _ in range(steps if total else 0):
@@ -142,12 +143,12 @@ def copies(doc_id: Column, rate: Column) -> Column:
 
 
 def mixing_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, n_tokens, domain, posteriors, rate, copies for each row of docs; posteriors by domain."""
+    """doc_id, n_tokens, domain, posteriors (in the order of the domains), rate, copies for each row of docs."""
     rows, cells, domains = fit_rates(docs, labels, **options)
     out = rows.join(F.broadcast(cells), list(FEATURES))  # at most the product of the bins
     best = F.array_position("p", F.array_max("p")).cast("int") - 1
     doc_id = F.when(F.col("__id") != NULL_ID, F.col("__id"))
-    return out.select(doc_id.alias("doc_id"), "n_tokens", F.get(F.array(*[F.lit(d) for d in domains]), best).alias("domain"), F.map_from_arrays(F.array(*[F.lit(str(d)) for d in domains]), "p").alias("posteriors"), "rate", copies(F.col("__id"), F.col("rate")).alias("copies"))
+    return out.select(doc_id.alias("doc_id"), "n_tokens", F.get(F.array(*[F.lit(d) for d in domains]), best).alias("domain"), F.col("p").alias("posteriors"), "rate", copies(F.col("__id"), F.col("rate")).alias("copies"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, least: float = 1.0, **options) -> DataFrame:

@@ -359,10 +359,12 @@ def test_targets_are_met(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     out = mixing.mixing_report(docs, labels).toPandas()
     total = sum(n * r for n, r in zip(out.n_tokens, out.rate))
-    share = sum(n * r * p["1"] for n, r, p in zip(out.n_tokens, out.rate, out.posteriors)) / total
+    share = sum(n * r * p[1] for n, r, p in zip(out.n_tokens, out.rate, out.posteriors)) / total
     assert share == pytest.approx(0.9, abs=0.01) and total == pytest.approx(out.n_tokens.sum(), rel=0.02)
     up = mixing.fit_rates(docs, labels, least=1.0)[1].toPandas()
     assert (up.rate >= 1).all()
+    bound = mixing.mixing_report(docs, labels, least=1.0, growth=1.1, targets={1: 0.99, 0: 0.01}).toPandas()
+    assert (bound.rate >= 1).all() and (bound.rate * bound.n_tokens).sum() < 1.35 * bound.n_tokens.sum()
 
 
 # --- 8
