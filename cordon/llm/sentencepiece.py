@@ -24,8 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -33,7 +35,9 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 NEVER, PENALTY = -1e8, 10.0
 #: Chunks up to this many bytes are searched side by side.
 SHORT = 48
-SLICE = 4 << 20
+#: Texts are coded in slices of about so many characters; the pieces of so many chunks are kept for reuse.
+SLICE = 1 << 20
+CACHED = 400_000
 
 
 def read_pieces(raw: bytes) -> list[tuple[str, float, int]]:
@@ -141,7 +145,7 @@ class Pieces:
         for i in np.flatnonzero(self.kinds == BYTE):
             self.bytes[int(self.names[i][3:5], 16)] = i
         self.crossing = any(MARK in p.lstrip(MARK) for p, _, k in pieces if k == NORMAL)
-        self.chunks = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
+        self.chunks = re.compile(" *[^ ]+| +")
         surface = [bytes([int(n[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else n.replace(MARK, " ").encode() for n, k in zip(self.names, self.kinds)]
         self.sizes = np.array([len(b) for b in surface], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -244,7 +248,7 @@ class Pieces:
 
     def _learn(self, new: list[str]) -> None:
         """Finds the pieces of chunks not met before."""
-        raw = [c.encode("utf-8", "replace") for c in new]
+        raw = [c.replace(" ", MARK).encode("utf-8", "replace") for c in new]
         groups: dict[int, list[int]] = {}
         for i, b in enumerate(raw):
             # ASCII and other chunks apart: only the others have characters without a piece, mostly
@@ -268,13 +272,13 @@ class Pieces:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of all texts in a row, and how many each text has."""
-        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        marked = [" " + t if t else "" for t in texts]
         if self.crossing:
-            paths = [self.best_path(t.encode("utf-8", "replace")) for t in marked]
+            paths = [self.best_path(t.replace(" ", MARK).encode("utf-8", "replace")) for t in marked]
             return np.array([x for p in paths for x in p], np.int32), np.array([len(p) for p in paths], np.int64)
         split = [self.chunks.findall(t) for t in marked]
         new = list({c for s in split for c in s if c not in self.known})
-        if new and len(self.known) > 1_000_000:
+        if new and len(self.known) > CACHED:
             self._forget()
             new = list({c for s in split for c in s})
         if new:
@@ -304,35 +308,42 @@ def load_pieces(path: str) -> Pieces:
         return Pieces(read_pieces(f.read()))
 
 
-def encode(docs: DataFrame, pieces: Pieces, column: str = "text", to: str = "pieces") -> DataFrame:
-    """docs with `to`, the ids of the pieces of `column`."""
+def encode(docs: DataFrame, pieces: Pieces, column: str = "text", to: str = "pieces", check: str | None = None) -> DataFrame:
+    """docs with `to`, the ids of the pieces of `column`; with `check`, also a column of that name: does decoding them give the text?
+
+    Batches go through in slices of text, so a worker holds little more than what comes in at once.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(pieces)  # as large as the vocabulary
+    at = docs.columns.index(column)
+    new = [T.StructField(to, T.ArrayType(T.IntegerType())), *([T.StructField(check, T.BooleanType())] if check else [])]
+    schema = T.StructType([*docs.schema.fields, *new])
 
-    @F.arrow_udf("array<int>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for texts in batches:
-            ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for part in _parts(texts.to_pylist()):
-                i, n = own.encode_batch([t or "" for t in part])
-                ids.append(i)
-                counts.append(n)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False))
-            yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
-
-    return docs.withColumn(to, run(column))
-
-
-def _parts(texts: list) -> Iterator[list]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t or "")
+        for batch in batches:
+            for first, last in _parts(batch.column(at)):
+                part = batch.slice(first, last - first)
+                texts = part.column(at).to_pylist()
+                ids, counts = own.encode_batch([t or "" for t in texts])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.array([*(t is None for t in texts), False]))
+                columns = [*part.columns, pa.ListArray.from_arrays(offsets, pa.array(ids))]
+                if check:
+                    columns.append(pa.array([a is None or a == b for a, b in zip(texts, own.decode_batch(ids, counts))], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about SLICE bytes of text each."""
+    first, size = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        size += n
         if size > SLICE:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def decode(coded: DataFrame, pieces: Pieces, column: str = "pieces", to: str = "decoded") -> DataFrame:
@@ -360,8 +371,8 @@ def coded_documents(docs: DataFrame, model_path: str) -> DataFrame:
     pieces = load_pieces(model_path)
     own = np.flatnonzero(pieces.kinds == BYTE)
     lo, hi = (int(own.min()), int(own.max())) if len(own) else (1, 0)
-    out = decode(encode(docs.select("doc_id", "text"), pieces, "text", "pieces"), pieces, "pieces", "decoded")
-    return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.size(F.filter("pieces", lambda p: p.between(lo, hi))).cast("long").alias("n_byte_pieces"), F.col("pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    out = encode(docs.select("doc_id", "text"), pieces, check="round_trip")
+    return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.size(F.filter("pieces", lambda p: p.between(lo, hi))).cast("long").alias("n_byte_pieces"), "pieces", "round_trip")
 
 
 def spark_model_path(spark: SparkSession) -> str:
