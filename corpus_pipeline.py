@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from cordon.llm import line_dedup, minhash_dedup, mixing, sentencepiece, shared, toxicity
 
-#: Shares of tokens by quality label; no document's rate falls under 1, so none is dropped here.
-MIX = {1: 0.88, 0: 0.12}
+#: Shares of tokens by quality label; no document's rate falls under 1, so none is dropped here, and the
+#: targets are shares of at most GROWTH times the tokens that come in.
+MIX, GROWTH = {1: 0.88, 0: 0.12}, 1.1
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,14 +38,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document at least once, and again as often as its rate asks for."""
-    return mixing.mixed(docs, _labels(spark, sf_dir), least=1.0, targets=MIX)
+    return mixing.mixed(docs, _labels(spark, sf_dir), least=1.0, growth=GROWTH, targets=MIX)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with pieces (ids), n_pieces and round_trip (decoding gives the text)."""
     pieces = sentencepiece.load_pieces(sentencepiece.spark_model_path(spark))
-    out = sentencepiece.decode(sentencepiece.encode(docs, pieces, "text", "pieces"), pieces, "pieces", "decoded")
-    return out.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).withColumn("n_pieces", F.size("pieces").cast("long")).drop("decoded")
+    out = sentencepiece.encode(docs, pieces, check="round_trip")
+    return out.withColumn("n_pieces", F.size("pieces").cast("long"))
 
 
 STAGES = [
