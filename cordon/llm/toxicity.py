@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 SHORTEST, LONGEST = 3, 7
 BLOCK = 64
+#: The terms of so many tokens are kept for reuse.
+CACHED = 200_000
 
 
 def terms_of(word: str) -> list[str]:
@@ -45,26 +47,33 @@ class Vocabulary:
     """Term numbers from 1; 0 stands for all words that have none."""
 
     ids: dict[str, int]
-    cache: dict[str, tuple[int, ...]] = field(default_factory=dict)
+
+    def __post_init__(self):
+        # every term of a word begins as the word does
+        self.heads = {t.rstrip("-")[:SHORTEST] for t in self.ids}
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
-        return {"ids": self.ids, "cache": {}}
+        return {"ids": self.ids, "heads": self.heads, "cache": {}}
 
     def counts(self, text: str) -> dict[int, int]:
         out: dict[int, int] = {}
-        cache = self.cache
+        cache, heads, other = self.cache, self.heads, 0
         for token, n in Counter(text.lower().split()).items():
+            if token[:SHORTEST] not in heads and token.isalpha():
+                other += n
+                continue
             found = cache.get(token)
             if found is None:
-                if len(cache) > 1_000_000:
+                if len(cache) > CACHED:
                     cache.clear()
-                found = cache[token] = tuple(self.ids.get(t, 0) for w in WORD.findall(token) for t in terms_of(w))
-                if not any(found):
-                    found = cache[token] = (0,) if found else ()
-                else:
-                    found = cache[token] = tuple(t for t in found if t)
+                words = WORD.findall(token)
+                terms = tuple(t for w in words for t in (self.ids.get(x, 0) for x in terms_of(w)) if t)
+                found = cache[token] = terms or ((0,) if words else ())
             for t in found:
                 out[t] = out.get(t, 0) + n
+        if other:
+            out[0] = out.get(0, 0) + other
         return out
 
 
