@@ -19,6 +19,7 @@ by `mixed` and not read.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,7 +107,8 @@ def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | No
 
     With least = 0 the targets are shares of the tokens there are. With least > 0 (no document gets a lower
     rate) they are shares of as many tokens as that takes, but of at most `growth` times those there are; beyond
-    that the fit is the nearest one that keeps the rates.
+    that the fit is the nearest one that keeps the rates. What a higher rate brings of the other domains counts
+    too: the number of tokens is raised between steps. A share that is missed is told by a warning.
     """
     targets = TARGETS if targets is None else targets
     rows = table(features(docs), "mixing-rows")
@@ -115,7 +117,9 @@ def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | No
     cells = table(cells, "mixing-cells")
     k = len(domains)
     sums = lambda weight: [F.sum(F.col("tokens") * weight * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(k)]
-    there = [x or 0.0 for x in cells.agg(*sums(F.lit(1.0))).first()]
+    purest = [F.max(F.get("p", F.lit(i))).alias(f"m{i}") for i in range(k)]
+    first = [x or 0.0 for x in cells.agg(*sums(F.lit(1.0)), *purest).first()]
+    there, purest = first[:k], first[k:]
     total = sum(there)
     share = {d: targets.get(d, 0.0) for d in domains}
     scale = sum(share.values())
@@ -124,14 +128,22 @@ def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[int, float] | No
     if least > 0 and total:
         wanted = min(growth * total, least * max(t / max(s, 1e-6) for t, s in zip(there, share) if t > 0))
     goal, start = [wanted * s for s in share], (wanted / total if total else 1.0)
+    # no rates reach a share that is above every cell's posterior
+    open_ = least > 0 and all(m > s for m, s in zip(purest, share))
     residuals: list[list[float]] = []
-    for _ in range(steps if total else 0):
+    for i in range(steps if total else 0):
         now = cells.agg(*sums(_rate(F.col("p"), residuals, start, least, ridge)["y"])).first()
         residuals.append([((x or 0.0) - g) / total for x, g in zip(now, goal)])
         if max(map(abs, residuals[-1])) < close * max(1.0, start):
             break
+        if open_ and i % 8 == 7:
+            wanted = max(wanted, min(growth * total, max((x or 0.0) / s for x, s in zip(now, share) if s > 0)))
+            goal = [wanted * s for s in share]
     rated = cells.withColumn("rate", _rate(F.col("p"), residuals, start, least, ridge)["r"]).drop("tokens")
     rated = table(rated, "mixing-rates")
+    reached = [x or 0.0 for x in rated.join(cells.select(*FEATURES, "tokens"), list(FEATURES)).agg(*sums(F.col("rate"))).first()]
+    if total and max(abs(x / (sum(reached) or 1) - s) for x, s in zip(reached, share)) > 0.01:
+        warnings.warn(f"shares of tokens by domain {domains}: wanted {share}, reached {[x / (sum(reached) or 1) for x in reached]}", stacklevel=2)
     collect_garbage(docs.sparkSession)
     return rows, rated, domains
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from cordon.llm import line_dedup, minhash_dedup, mixing, sentencepiece, shared, toxicity
 
 #: Shares of tokens by quality label; no document's rate falls under 1, so none is dropped here, and the
-#: targets are shares of at most GROWTH times the tokens that come in.
-MIX, GROWTH = {1: 0.88, 0: 0.12}, 1.1
+#: targets are shares of as many tokens as that takes.
+MIX = {1: 0.88, 0: 0.12}
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document at least once, and again as often as its rate asks for."""
-    return mixing.mixed(docs, _labels(spark, sf_dir), least=1.0, growth=GROWTH, targets=MIX)
+    return mixing.mixed(docs, _labels(spark, sf_dir), least=1.0, targets=MIX)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -367,6 +367,20 @@ def test_targets_are_met(spark):
     assert (bound.rate >= 1).all() and (bound.rate * bound.n_tokens).sum() < 1.35 * bound.n_tokens.sum()
 
 
+def test_pipeline_reaches_its_mix_on_skewed_rows(spark, tmp_path):
+    r, own, labels = random.Random(4), [], []
+    for i in range(240):
+        good = i % 4 == 0
+        own.append((i, sentence(r, 150) if good else "#$% " * 150))
+        labels.append((i, int(good), 0))
+    docs, low_ = frame(spark, own), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    low_.write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.mix(spark, docs, str(tmp_path)).join(low_, "doc_id")
+    n = {x.quality: x.n for x in out.groupBy("quality").agg(F.sum(F.size(F.split(F.trim("text"), " +"))).alias("n")).collect()}
+    assert n[1] / (n[0] + n[1]) == pytest.approx(corpus_pipeline.MIX[1], abs=0.02)
+    assert out.select("doc_id").distinct().count() == 240
+
+
 # --- 8
 
 def exact_brute(rows):
