@@ -8,10 +8,12 @@ whose chance to agree is the weighted Jaccard similarity; texts that agree in a
 are linked only when their exact weighted Jaccard similarity is at least `similarity`.
 
 Rows with equal texts are one class from the start. In a small bucket all texts are compared; in a large one
-each text with three pivots (the smallest and largest id, and one drawn by hash), so work grows with the
-members, not with their pairs. Texts of large buckets that are then still in different components are dealt
-anew by bands of more samples, where only texts that are nearer meet, and the same is repeated. Misses are
-left to the chance of the samples alone, of which the tests and the README give figures.
+first each text with three pivots (the smallest and largest id, and one drawn by hash). Large buckets whose
+texts are then still in different components are finished exactly: their texts are dealt into blocks by total
+weight, and every two blocks whose weights allow the similarity are compared as wholes, by sums of shared
+weights, except for what the bucket's largest component has inside. So no link in a bucket is left out, and
+misses are left to the chance of the samples alone, of which the tests and the README give figures. Work in
+such a bucket grows with the square of its members.
 
 Cases: null and empty texts (no words) are equal texts of one class; very long texts take their samples in
 slices of shingles; ties go to the smallest doc_id; rows that share a doc_id count as one document, a null
@@ -21,13 +23,12 @@ doc_id is the smallest id; an empty table gives no rows; other columns, whatever
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .line_dedup import U64, mix
@@ -37,6 +38,8 @@ from .words import Words, chained, runs, slices
 SHINGLE = 5
 BUCKETS = 1 << 18
 _DRAWS = 1 << 16
+#: Texts and bytes of a block of a large bucket, and shared weights summed at once.
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 8 << 20, 2048
 
 
 def _bucket(words: np.ndarray) -> np.ndarray:
@@ -135,20 +138,21 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, idf, n_samples: int) -> DataFrame:
-    """id, k1, k2 (128-bit key of the text), samples for each row of docs; no samples where there is no word."""
+    """id, k1, k2 (128-bit key of the text), samples, weight (of all shingles), bytes for each row of docs; no samples where there is no word."""
     sampler = Sampler(n_samples)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = _encoded(pdf["text"])
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in texts), np.int64).reshape(-1, 2)
-            out = []
+            out, sums = [], []
             for a, b in slices(texts):
                 s = Shingles(texts[a:b], idf.value)
+                sums += [float(w.sum()) for w in s.weight]
                 out += [sampler.samples(h, w).view(np.int64) if len(h) else np.zeros(0, np.int64) for h, w in zip(s.hash, s.weight)]
-            yield pd.DataFrame({"id": pdf["id"], "k1": keys[:, 0], "k2": keys[:, 1], "samples": out})
+            yield pd.DataFrame({"id": pdf["id"], "k1": keys[:, 0], "k2": keys[:, 1], "samples": out, "weight": sums, "bytes": [len(t) for t in texts]})
 
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").mapInPandas(sign, "id long, k1 long, k2 long, samples array<bigint>")
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").mapInPandas(sign, "id long, k1 long, k2 long, samples array<bigint>, weight double, bytes long")
 
 
 def weighted_jaccard(h1, w1, h2, w2) -> float:
@@ -176,19 +180,101 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Data
     return both.mapInPandas(check, "a long, b long")
 
 
-def _keys(samples: str, level: int, bands: int, rows: int, of: int) -> list:
-    """The band keys of a level: disjoint samples on level 0, then drawn ones, more for each key."""
-    if level == 0:
-        picks = [range(i * rows, (i + 1) * rows) for i in range(bands)]
-    else:
-        draw = random.Random(level)
-        picks = [draw.sample(range(of), rows) for _ in range(bands)]
-    return [F.xxhash64(F.lit(level), F.lit(i), *[F.get(samples, F.lit(k)) for k in pick]) for i, pick in enumerate(picks)]
+def shared_weights(hashes: list[np.ndarray], weights: list[np.ndarray], n: int) -> np.ndarray:
+    """The summed smaller weights of shared shingles, for each of the first n texts and each of the others (n = 0: for every two of all texts; the diagonal means nothing)."""
+    texts = len(hashes)
+    row, h, w = np.repeat(np.arange(texts), [len(x) for x in hashes]), np.concatenate(hashes), np.concatenate(weights)
+    _, col = np.unique(h, return_inverse=True)
+    out = np.zeros((n or texts, texts - n))
+    # a layer: the least weight that is left of a shingle, taken off all texts that have it
+    while len(col):
+        left, right = (row < n, row >= n) if n else (row >= 0, row >= 0)
+        many = np.bincount(col) > 1
+        if n:
+            many &= (np.bincount(col[left], minlength=len(many)) > 0) & (np.bincount(col[right], minlength=len(many)) > 0)
+        keep = many[col]
+        row, w = row[keep], w[keep]
+        _, col = np.unique(col[keep], return_inverse=True)
+        if not len(col):
+            break
+        order = np.argsort(col, kind="stable")
+        row, col, w = row[order], col[order], w[order]
+        least = np.minimum.reduceat(w, np.searchsorted(col, np.arange(col[-1] + 1)))
+        for i in range(0, len(least), COLUMNS):
+            lo, hi = np.searchsorted(col, [i, i + COLUMNS])
+            part = np.zeros((texts, COLUMNS))
+            part[row[lo:hi], col[lo:hi] - i] = np.sqrt(least[col[lo:hi]])
+            out += part[: n or texts] @ part[n:].T
+        w = w - least[col]
+        keep = w > 1e-12
+        row, col, w = row[keep], col[keep], w[keep]
+    return out
+
+
+def block_links(ids, parts, hashes: list[np.ndarray], weights: list[np.ndarray], n: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between texts of different components `parts`, of which all others follow; n as in shared_weights."""
+    root = {p: p for p in parts}
+
+    def top(p):
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        return p
+
+    both, sums = shared_weights(hashes, weights, n), np.array([w.sum() for w in weights])
+    near = both >= (similarity - 1e-6) * (sums[: n or len(sums), None] + sums[None, n:] - both)
+    parts_ = np.asarray(parts)
+    out = []
+    for i, j in zip(*np.nonzero(near & (parts_[: n or len(sums), None] != parts_[None, n:]))):
+        j = j + n
+        x, y = top(parts[i]), top(parts[j])
+        if x != y and weighted_jaccard(hashes[i], weights[i], hashes[j], weights[j]) >= similarity - 1e-9:
+            root[x] = y
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _finished(members: DataFrame, texts: DataFrame, labels: DataFrame, idf, similarity: float, direct: int) -> DataFrame:
+    """Links (a, b) between components in large buckets, all of them or such that the others follow."""
+    large = members.where(F.col("n") > direct).join(labels, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    per = large.groupBy("bucket").agg(F.mode("c").alias("main"), (F.min("c") != F.max("c")).alias("mixed")).where("mixed")
+    dealt = large.join(per, "bucket").withColumn("inner", F.col("c") == F.col("main"))
+    w = Window.partitionBy("bucket", "inner").orderBy("weight", "id")
+    at = F.floor((F.row_number().over(w) - 1) / BLOCK) + F.floor(F.sum("bytes").over(w) / BLOCK_BYTES)
+    dealt = table(dealt.select("bucket", "id", "c", "inner", "weight", at.alias("block")), "near-dealt")
+    blocks = dealt.groupBy("bucket", "inner", "block").agg(F.min("weight").alias("lo"), F.max("weight").alias("hi"))
+    x = blocks.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("inner", "block", "lo", "hi")])
+    y = blocks.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("inner", "block", "lo", "hi")])
+    order = F.struct("x_inner", "x_block") <= F.struct("y_inner", "y_block")
+    least = similarity - 1e-6
+    two = x.join(y, "bucket").where(order & ~(F.col("x_inner") & F.col("y_inner")) & (F.col("x_hi") >= least * F.col("y_lo")) & (F.col("y_hi") >= least * F.col("x_lo")))
+    two = two.select("bucket", *[f"{s}_{c}" for s in "xy" for c in ("inner", "block")])
+    side = lambda s, k: two.select("*", F.lit(k).alias("side"), F.col(f"{s}_inner").alias("inner"), F.col(f"{s}_block").alias("block"))
+    same = (F.col("x_inner") == F.col("y_inner")) & (F.col("x_block") == F.col("y_block"))
+    sides = side("x", 0).union(side("y", 1).where(~same))
+    rows = sides.join(dealt, ["bucket", "inner", "block"]).join(texts, "id")
+    key = ["bucket", "x_inner", "x_block", "y_inner", "y_block"]
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "id"])
+        raw, hashes, weights = _encoded(pdf["text"]), [], []
+        for a, b in slices(raw):
+            s = Shingles(raw[a:b], idf.value)
+            hashes, weights = hashes + s.hash, weights + s.weight
+        n = int((pdf["side"] == 0).sum())
+        found = block_links(pdf["id"].tolist(), pdf["c"].tolist(), hashes, weights, n if n < len(pdf) else 0, similarity)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.select(*key, "side", "id", "c", "text").groupBy(*key).applyInPandas(compare, "a long, b long")
+
+
+def _keys(samples: str, bands: int, rows: int) -> list:
+    """The band keys: disjoint samples."""
+    return [F.xxhash64(F.lit(0), F.lit(i), *[F.get(samples, F.lit(k)) for k in range(i * rows, (i + 1) * rows)]) for i in range(bands)]
 
 
 def _members(own: DataFrame, keys: list) -> DataFrame:
     """id, bucket of the texts that share a bucket with another, and n, how many do."""
-    all_ = own.where(F.size("samples") > 0).select(F.col("rep").alias("id"), F.explode(F.array(*keys)).alias("bucket"))
+    all_ = own.where(F.size("samples") > 0).select(F.col("rep").alias("id"), "weight", "bytes", F.explode(F.array(*keys)).alias("bucket"))
     sizes = all_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("p0"), F.max("id").alias("p1"), F.min_by("id", F.xxhash64("id", "bucket")).alias("p2")).where("n > 1")
     return all_.join(sizes, "bucket")
 
@@ -203,48 +289,31 @@ def _candidates(members: DataFrame, direct: int) -> DataFrame:
     return all_.distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, levels: tuple[tuple[int, int], ...] = ((12, 4), (36, 8), (48, 12)), direct: int = 8) -> DataFrame:
-    """id, class_id for each row of docs; class_id is the smallest id among the texts that links reach.
-
-    levels: (bands, samples for each band). A later level takes only texts of buckets whose texts are not yet
-    all in one component.
-    """
-    spark, n_samples = docs.sparkSession, levels[0][0] * levels[0][1]
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 12, rows: int = 4, direct: int = 8) -> DataFrame:
+    """id, class_id for each row of docs; class_id is the smallest id among the texts that links reach."""
+    spark, n_samples = docs.sparkSession, bands * rows
     idf = spark.sparkContext.broadcast(idf_table(document_frequencies(docs)))  # BUCKETS floats
     signed = table(signatures(docs, idf, n_samples), "near-signatures")
-    own = signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("samples").alias("samples"))
+    own = signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("samples").alias("samples"), F.first("weight").alias("weight"), F.first("bytes").alias("bytes"))
     own = table(own, "near-texts")
-    members = table(_members(own, _keys("samples", 0, *levels[0], n_samples)), "near-members")
+    members = table(_members(own, _keys("samples", bands, rows)), "near-members")
     base = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
     texts = table(base.join(members.select("id").distinct(), "id").dropDuplicates(["id"]), "near-candidates")
     collect_garbage(spark)
+    found = table(verified(_candidates(members, direct), texts, idf, similarity), "near-links")
     # label: the component of each text that has links so far
-    labels = None
-    for level in range(len(levels)):
-        pairs = _candidates(members, direct)
-        if labels is None:
-            found = verified(pairs, texts, idf, similarity)
-            labels = table(components(table(found, "near-links"), "a", "b").withColumnRenamed("v", "id"), "near-labels")
-        else:
-            # only pairs that would join two components; these are then joined as wholes
-            of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-            apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-            found = table(verified(apart, texts, idf, similarity), "near-links")
-            joint = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
-            joint = components(joint, "a", "b")
-            # labels of texts with links before, and of texts whose first link this is
-            old = labels.join(joint.withColumnRenamed("component", "new"), F.col("component") == F.col("v"), "left").select("id", F.coalesce("new", "component").alias("component"))
-            new = joint.join(labels.select(F.col("id").alias("v")), "v", "left_anti").select(F.col("v").alias("id"), "component")
-            labels = table(old.union(new), "near-labels")
-        if level == len(levels) - 1:
-            break
-        large = members.where(F.col("n") > direct).join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        mixed = large.groupBy("bucket").agg((F.min("c") != F.max("c")).alias("mixed")).where("mixed").select("bucket")
-        left = table(large.join(mixed, "bucket", "left_semi").select(F.col("id").alias("rep")).distinct(), "near-left")
-        discard(members)
-        members = table(_members(own.join(left, "rep", "left_semi"), _keys("samples", level + 1, *levels[level + 1], n_samples)), "near-members")
-        if not members.limit(1).count():
-            break
+    labels = table(components(found, "a", "b").withColumnRenamed("v", "id"), "near-labels")
+    collect_garbage(spark)
+    found = table(_finished(members, texts, labels, idf, similarity, direct), "near-links")
+    if found.limit(1).count():
+        # the components that these links join are joined as wholes
+        of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+        joint = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+        joint = components(joint, "a", "b")
+        # labels of texts with links before, and of texts whose first link this is
+        old = labels.join(joint.withColumnRenamed("component", "new"), F.col("component") == F.col("v"), "left").select("id", F.coalesce("new", "component").alias("component"))
+        new = joint.join(labels.select(F.col("id").alias("v")), "v", "left_anti").select(F.col("v").alias("id"), "component")
+        labels = table(old.union(new), "near-labels")
     discard(texts, members)
     collect_garbage(spark)
     classes = own.select("k1", "k2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))

@@ -458,6 +458,31 @@ def test_near_dedup_of_a_large_group(spark):
     assert got == near_brute(rows)
 
 
+def test_near_dedup_of_pairs_in_a_large_cohort(spark):
+    r = random.Random(12)
+    base, rows = [r.choice(WORDS) for _ in range(160)], []
+    new = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    for i in range(60):
+        shared_ = new(5)
+        rows += [(2 * i + k + 1, " ".join(base + shared_ + new(9))) for k in (0, 1)]
+    want = near_brute(rows)
+    assert len({c for _, c in want}) == 60
+    got = sorted((x.id, x.class_id) for x in minhash_dedup.near_duplicates(frame(spark, rows)).collect())
+    assert got == want
+
+
+def test_shared_weights():
+    g = np.random.default_rng(7)
+    value = g.random(90) + 1
+    hashes = [np.sort(g.choice(90, 40, replace=False)).astype(np.uint64) for _ in range(12)]
+    weights = [g.integers(1, 5, 40) * value[h.astype(int)] for h in hashes]
+    for n in (0, 5):
+        both, sums = minhash_dedup.shared_weights(hashes, weights, n), np.array([w.sum() for w in weights])
+        for i in range(n or 12):
+            for j in range(n or i + 1, 12):
+                assert both[i, j - n] / (sums[i] + sums[j] - both[i, j - n]) == pytest.approx(minhash_dedup.weighted_jaccard(hashes[i], weights[i], hashes[j], weights[j]))
+
+
 def test_near_dedup_keeps_columns(docs, empty):
     out = minhash_dedup.keep_one(docs)
     assert out.columns == docs.columns and minhash_dedup.near_duplicate_report(empty).count() == 0
