@@ -72,6 +72,11 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{NOTES} AS text")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its whole text."""
+    return sources.spread(_read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+
+
 def _injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.spread(_read(spark, sf_dir, "documents").select("doc_id", "text")).selectExpr("doc_id", f"{INJECTED} AS text")
 
@@ -222,41 +227,41 @@ def findings_by_audience(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- guard and reports
 
-def _report(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+def _report(spark: SparkSession, sf_dir: str, texts=_notes, **options) -> DataFrame:
     # findings are few against the text; kept, as most reports read them more than once
-    return guard.findings(_notes(spark, sf_dir), Policy(Rules.builtin()), **options).persist()
+    return guard.findings(texts(spark, sf_dir), Policy(Rules.builtin()), **options).persist()
 
 
-def seg_windows_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard.segments(_notes(spark, sf_dir)).select("doc_id", "seg_no", "win_start", "cut", "release", "is_last")
+def seg_windows_ascii(spark: SparkSession, sf_dir: str, texts=_notes) -> DataFrame:
+    return guard.segments(texts(spark, sf_dir)).select("doc_id", "seg_no", "win_start", "cut", "release", "is_last")
 
 
 def _plain_findings(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "seg_no", "action", "category", "source", "start", "end", _joined())
 
 
-def guard_report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain_findings(_report(spark, sf_dir))
+def guard_report_findings(spark: SparkSession, sf_dir: str, texts=_notes) -> DataFrame:
+    return _plain_findings(_report(spark, sf_dir, texts))
 
 
-def guard_filter_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain_findings(guard.filter_findings(_report(spark, sf_dir)))
+def guard_filter_findings(spark: SparkSession, sf_dir: str, texts=_notes) -> DataFrame:
+    return _plain_findings(guard.filter_findings(_report(spark, sf_dir, texts)))
 
 
-def guard_filter_released_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = guard.released(_notes(spark, sf_dir), _report(spark, sf_dir))
+def guard_filter_released_len(spark: SparkSession, sf_dir: str, texts=_notes) -> DataFrame:
+    out = guard.released(texts(spark, sf_dir), _report(spark, sf_dir, texts))
     return out.select("doc_id", "blocked", F.octet_length("released").cast("long").alias("released_bytes"))
 
 
-def guard_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def guard_dedup(spark: SparkSession, sf_dir: str, texts=_notes) -> DataFrame:
     """Findings of each document and source, each counted once however many windows show it."""
-    return _report(spark, sf_dir).groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.min("start").alias("first_start"))
+    return _report(spark, sf_dir, texts).groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.min("start").alias("first_start"))
 
 
-def guard_events_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def guard_events_order(spark: SparkSession, sf_dir: str, texts=_notes) -> DataFrame:
     """Events of the filter in order, with the bytes that they release."""
-    notes = _notes(spark, sf_dir)
-    out = guard.events(notes, _report(spark, sf_dir))
+    notes = texts(spark, sf_dir)
+    out = guard.events(notes, _report(spark, sf_dir, texts))
     return out.select("doc_id", "seg_no", "ord", "kind", F.col("n").cast("long").alias("n"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
 
 
@@ -272,26 +277,26 @@ def guard_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_findings(guard.findings(sources.spread(pages)))
 
 
-def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.lines(_report(spark, sf_dir), _notes(spark, sf_dir)).select("doc_id", "start", "end", "line_no", "line")
+def report_lines(spark: SparkSession, sf_dir: str, texts=_notes) -> DataFrame:
+    return report.lines(_report(spark, sf_dir, texts), texts(spark, sf_dir)).select("doc_id", "start", "end", "line_no", "line")
 
 
-def report_summary_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.summary(_report(spark, sf_dir), _notes(spark, sf_dir), "site").select("doc_id", "blocks", "warns", "summary")
+def report_summary_verdict(spark: SparkSession, sf_dir: str, texts=_notes) -> DataFrame:
+    return report.summary(_report(spark, sf_dir, texts), texts(spark, sf_dir), "site").select("doc_id", "blocks", "warns", "summary")
 
 
-def report_exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = _notes(spark, sf_dir)
+def report_exit_code(spark: SparkSession, sf_dir: str, texts=_notes) -> DataFrame:
+    notes = texts(spark, sf_dir)
     found = guard.findings(notes, Policy(Rules.builtin(), "investigation"))
     return report.summary(found, notes, "investigation", fail_on_warn=True).select("doc_id", "exit_code")
 
 
-def report_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.json_lines(_report(spark, sf_dir), "site").select("doc_id", "start", "end", "json")
+def report_jsonl(spark: SparkSession, sf_dir: str, texts=_notes) -> DataFrame:
+    return report.json_lines(_report(spark, sf_dir, texts), "site").select("doc_id", "start", "end", "json")
 
 
-def finding_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(spark, sf_dir, hmac_key=TEST_KEY).select("doc_id", "source", "start", "end", "fingerprint")
+def finding_fingerprint(spark: SparkSession, sf_dir: str, texts=_notes) -> DataFrame:
+    return _report(spark, sf_dir, texts, hmac_key=TEST_KEY).select("doc_id", "source", "start", "end", "fingerprint")
 
 
 def utf8_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,6 +354,12 @@ def queries() -> dict[str, Query]:
     return out
 
 
+def document_queries() -> dict[str, Query]:
+    """The guard's and reports' queries over all documents with whole texts; they have no SQL."""
+    own = (seg_windows_ascii, guard_filter_findings, guard_filter_released_len, guard_dedup, guard_events_order, report_lines, report_summary_verdict, report_exit_code, report_jsonl, finding_fingerprint)
+    return {f"{f.__name__.removesuffix('_ascii')}_documents": partial(f, texts=_documents) for f in own}
+
+
 # --- SQL
 
 def _matrix_sql() -> str:

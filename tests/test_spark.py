@@ -151,3 +151,29 @@ def test_documents_are_the_plain_guards(spark):
         one = StreamGuard.of(Policy(Rules.builtin()), Detectors(), mode="report")
         want |= {(r.doc_id, f[0], f[1], f[5]) for e in [*one.push(r.text or ""), *one.finish()] for f in e[5]}
     assert got == want and plain
+
+
+def test_document_queries_are_the_plain_guards(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    own = Q.document_queries()
+    lets, kept, all_ = {}, set(), {}
+    for i, text in docs.items():
+        for mode in ("filter", "report"):
+            one = StreamGuard.of(Policy(Rules.builtin()), Detectors(), mode=mode)
+            out = [*one.push(text), *one.finish()]
+            found = {(i, f[0], f[1], f[5]) for e in out for f in e[5]}
+            if mode == "filter":
+                lets[i], kept = [(e[0], e[1], e[2], e[3], len((e[4] or "").encode())) for e in out], kept | found
+            else:
+                all_[i] = found
+    events = {}
+    for r in own["guard_events_order_documents"](spark, SF).orderBy("doc_id", "seg_no", "ord").collect():
+        events.setdefault(r.doc_id, []).append((r.seg_no, r.ord, r.kind, r.n, r.bytes))
+    assert events == {i: e for i, e in lets.items() if e}
+    assert {(r.doc_id, r.start, r.end, r.source) for r in own["guard_filter_findings_documents"](spark, SF).collect()} == kept
+    assert {r.doc_id: r.released_bytes for r in own["guard_filter_released_len_documents"](spark, SF).collect()} == {i: sum(e[4] for e in v) for i, v in lets.items()}
+    lines = {(r.doc_id, r.start, r.end): r.line_no for r in own["report_lines_documents"](spark, SF).collect()}
+    assert lines == {f[:3]: docs[f[0]].encode()[: f[1]].count(b"\n") + 1 for v in all_.values() for f in v}
+    assert {r.doc_id: r.blocks + r.warns for r in own["report_summary_verdict_documents"](spark, SF).collect()} == {i: len(v) for i, v in all_.items()}
+    for name in ("report_jsonl_documents", "finding_fingerprint_documents"):
+        assert own[name](spark, SF).count() == sum(map(len, all_.values()))
