@@ -61,7 +61,11 @@ def _report(text: str, guarded: Guarded, human: bool, fail_on_warn: bool, out) -
 def _filter(read, guarded: Guarded, fail_on_warn: bool, out, err) -> int:
     guard, decoder, warned, who = guarded.guard("filter"), codecs.getincrementaldecoder("utf-8")(), False, guarded.policy.audience
     while True:
-        data = read(CHUNK_BYTES)
+        try:
+            data = read(CHUNK_BYTES)
+        except OSError as e:
+            print(f"read error: {e}", file=err)
+            return INTERNAL
         try:
             text = decoder.decode(data, not data)
         except UnicodeDecodeError:
@@ -86,6 +90,19 @@ def _filter(read, guarded: Guarded, fail_on_warn: bool, out, err) -> int:
             return BLOCKED if warned and fail_on_warn else OK
 
 
+def _opened(path: str):
+    """A function that reads the file. A folder counts as opened; reading it fails."""
+    try:
+        return open(path, "rb").read
+    except IsADirectoryError as e:
+        why = e
+
+    def fails(n: int) -> bytes:
+        raise why
+
+    return fails
+
+
 def main(argv: list[str] | None = None, stdin=None, stdout=None, stderr=None) -> int:
     """Exit code: 0 released, 1 internal, 2 usage, 3 blocked, 4 bad input. stdin and stdout are binary."""
     stdin, stdout, stderr = stdin or sys.stdin.buffer, stdout or sys.stdout.buffer, stderr or sys.stderr
@@ -99,12 +116,11 @@ def main(argv: list[str] | None = None, stdin=None, stdout=None, stderr=None) ->
     try:
         if args.command == "scan":
             checked_format(args.format)
-            source = open(args.file, "rb") if args.file else stdin
+            read = _opened(args.file) if args.file else stdin.read
             if args.report:
-                data = source.read()
                 try:
-                    text = data.decode()
-                except UnicodeDecodeError as e:
+                    text = read(-1).decode()
+                except (UnicodeDecodeError, OSError) as e:
                     print(f"cannot read input: {e}", file=stderr)
                     return BAD_INPUT
         guarded = Guarded.load(args.config, args.audience, notice=False)
@@ -114,7 +130,7 @@ def main(argv: list[str] | None = None, stdin=None, stdout=None, stderr=None) ->
             return _report(args.text, guarded, True, False, said)
         if args.report:
             return _report(text, guarded, stdout.isatty(), args.fail_on_warn, said)
-        return _filter(source.read, guarded, args.fail_on_warn, stdout, stderr)
+        return _filter(read, guarded, args.fail_on_warn, stdout, stderr)
     except (ValueError, OSError) as e:
         print(e, file=stderr)
         return USAGE

@@ -20,26 +20,26 @@ from .sources import text as sources
 Query = Callable[[SparkSession, str], DataFrame]
 TEST_KEY = b"test key for the fingerprint query"
 
-#: Identifiers in plain ASCII, one for each detector and some that are none.
+#: Identifiers in plain ASCII, one for each detector and some that are none; check digits by tests/made.py.
 SAMPLES = [
-    "dave.miller@acme-corp.com",
-    "+44 20 7946 0958",
-    "(312) 555-2368",
-    "030 1234 5678",
-    "4556 7375 8689 9855",
-    "DE89 3704 0044 0532 0130 00 AND MORE",
-    "536-22-4181",
-    "AB 12 34 56 C",
-    "Steuer-ID 86 095 742 719",
-    "2 55 08 14 168 025 38",
-    "12345678Z",
-    "RSSMRA85T10A562S",
-    "BSN 111222333",
-    "L898902C36UTO7408122F1204159ZE184226B<<<<<10",
-    "+1 (312) 555-2368",
-    "badge E123456",
-    "ops@mail.example.org or 4111 1111 1111 1111",
-    "1 85 02 2A 123 456 12",
+    "kelu.raso@vomabi.io",
+    "+31 24 5530 8816",
+    "(415) 777-2040",
+    "0453 2261 907",
+    "6011 5333 1478 9326",
+    "DE38 4072 3862 5511 8487 33 BY FRIDAY",
+    "220-21-4279",
+    "WE 98 11 35 A",
+    "tax id 17 964 502 854",
+    "1 81 10 88 254 225 82",
+    "97626000Q",
+    "PUBXLY65B18Q676L",
+    "sofinummer 807124813",
+    "C756900722NLD8810104F3310241167123431<<<<<64",
+    "+1 (415) 777-2040",
+    "badge E720416",
+    "desk@deep.example.net or 4242 4242 4242 4242",
+    "1 61 07 2B 512 340 50",
     "no identifier",
 ]
 _FILLER = "Crews should stage the pallets before noon; check the straps. Report any near miss to the desk!\n"
@@ -56,10 +56,10 @@ def _repeated(n: int, cut: str) -> str:
 
 
 #: doc_id, text: a note for each customer, ASCII alone, with one identifier at some place.
-NOTES = f"{_repeated(20, '(c_custkey * 37) % 1500')} || ' Ref: ' || {_picked('c_custkey')} || ' - noted. ' || {_repeated(10, '(c_custkey * 11) % 700')}"
+NOTES = f"{_repeated(20, '(c_custkey * 37) % 1500')} || ' [see ' || {_picked('c_custkey')} || ' there] ' || {_repeated(10, '(c_custkey * 11) % 700')}"
 NOTES_SQL = f"notes AS (SELECT c_custkey AS doc_id, {NOTES} AS text FROM customer)"
 #: doc_id, text: every document with an identifier behind it.
-INJECTED = f"coalesce(text, '') || ' Ref: ' || {_picked('doc_id')} || ' - noted.'"
+INJECTED = f"coalesce(text, '') || ' [see ' || {_picked('doc_id')} || ' there]'"
 INJECTED_SQL = f"(SELECT doc_id, {INJECTED} AS t FROM documents)"
 CUSTOM = {"badge": r"E[0-9]{6}", "order_no": r"ord-[a-z]+"}
 
@@ -95,9 +95,9 @@ IDENTIFIERS: dict[str, tuple[str, Callable[[Column], Column], Callable[[str], st
     "val_de_steuer_id": (f"'1123456' || {_PAD(f'{_K} % 10000', 4)}", checks.de_steuer_id, S.de_steuer_id),
     "val_fr_nir": (f"'18502' || CASE {_K} % 3 WHEN 0 THEN '2A' WHEN 1 THEN '2B' ELSE '75' END || {_PAD(f'{_K} % 1000000', 6)} || {_PAD(f'{_K} % 97', 2)}", checks.fr_nir, S.fr_nir),
     "val_es_dni_nie": (f"CASE {_K} % 2 WHEN 0 THEN 'X' ELSE '1' END || {_PAD(f'{_K} % 10000000', 7)} || substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST({_K} % 23 AS INT) + 1, 1)", checks.es_dni_nie, S.es_dni_nie),
-    "val_it_cf": (f"'RSSMRA' || {_PAD(f'{_K} % 100', 2)} || 'T' || {_PAD(f'{_K} % 29', 2)} || 'A' || {_PAD(f'{_K} % 1000', 3)} || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST({_K} % 26 AS INT) + 1, 1)", checks.it_codice_fiscale, S.it_codice_fiscale),
+    "val_it_cf": (f"'PUBXLY' || {_PAD(f'{_K} % 100', 2)} || 'T' || {_PAD(f'{_K} % 29', 2)} || 'A' || {_PAD(f'{_K} % 1000', 3)} || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST({_K} % 26 AS INT) + 1, 1)", checks.it_codice_fiscale, S.it_codice_fiscale),
     "val_nl_bsn": (_PAD(f"{_K} * 31 % 1000000000", 9), checks.nl_bsn, S.nl_bsn),
-    "val_mrz": (f"'L898902C36UTO7408122F1204159ZE' || {_PAD(f'{_K} % 1000000', 6)} || '<<<<<<' || {_PAD(f'{_K} % 100', 2)}", checks.passport_mrz, S.passport_mrz),
+    "val_mrz": (f"'C756900722NLD8810104F3310241ZK' || {_PAD(f'{_K} % 1000000', 6)} || '<<<<<<' || {_PAD(f'{_K} % 100', 2)}", checks.passport_mrz, S.passport_mrz),
 }
 
 
@@ -112,7 +112,7 @@ def val_iban_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- normalization
 
-_EVASIONS = "'jo[at]ex(DOT)com {At} [at) ' || chr(8203) || '4' || chr(8288) || '1' || chr(65297) || ' 555' || chr(8211) || '0100' || chr(160) || CAST(c_custkey AS STRING) || chr(8722) || 'x'"
+_EVASIONS = "'li[at]vu(DOT)io {At} [at) ' || chr(8203) || '4' || chr(8288) || '1' || chr(65297) || ' 555' || chr(8211) || '0100' || chr(160) || CAST(c_custkey AS STRING) || chr(8722) || 'x'"
 
 
 def _evasions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,9 +162,9 @@ def det_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(detectors.scan(sources.spread(pages)))
 
 
-_MAILS = "CASE c_custkey % 5 WHEN 0 THEN 'Safety@acme.com' WHEN 1 THEN 'a@sub.corp.example' WHEN 2 THEN 'b@dept.allowed.org' WHEN 3 THEN 'c@allowed.org' ELSE 'd' || CAST(c_custkey AS STRING) || '@other.io' END"
-_PHONES = "CASE c_custkey % 4 WHEN 0 THEN '+44 20 7946 0958' WHEN 1 THEN '(312) 555-2368' WHEN 2 THEN '312-555-2368' ELSE '(312) 555-0123' END"
-_ALLOWED = Allow(("safety@ACME.com",), ("allowed.org",), ("312.555.2368",))
+_MAILS = "CASE c_custkey % 5 WHEN 0 THEN 'Desk@works.io' WHEN 1 THEN 'a@sub.corp.example' WHEN 2 THEN 'b@dept.allowed.org' WHEN 3 THEN 'c@allowed.org' ELSE 'd' || CAST(c_custkey AS STRING) || '@other.io' END"
+_PHONES = "CASE c_custkey % 4 WHEN 0 THEN '+31 24 5530 8816' WHEN 1 THEN '(415) 777-2040' WHEN 2 THEN '415-777-2041' ELSE '(415) 555-0123' END"
+_ALLOWED = Allow(("desk@WORKS.io",), ("allowed.org",), ("415.777.2040",))
 
 
 def _mails(spark: SparkSession, sf_dir: str, expr: str) -> DataFrame:
@@ -184,8 +184,8 @@ def allow_phone_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RESERVED = "CASE c_custkey % 6 WHEN 0 THEN 'x@example.com' WHEN 1 THEN 'x@a.example.net' WHEN 2 THEN 'x@y.test' WHEN 3 THEN 'logo@2x.png' WHEN 4 THEN 'git@github.com' ELSE 'x@myexample.com' END"
-_CARDS = f"CASE c_custkey % {len(V.TEST_CARDS) + 1} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(V.TEST_CARDS)) + " ELSE '4556737586899855' END"
-_SSNS = f"CASE c_custkey % {len(V.EXAMPLE_SSNS) + 1} " + " ".join(f"WHEN {i} THEN '{s[:3]}-{s[3:5]}-{s[5:]}'" for i, s in enumerate(V.EXAMPLE_SSNS)) + " ELSE '536-22-4181' END"
+_CARDS = f"CASE c_custkey % {len(V.TEST_CARDS) + 1} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(V.TEST_CARDS)) + " ELSE '6011533314789326' END"
+_SSNS = f"CASE c_custkey % {len(V.EXAMPLE_SSNS) + 1} " + " ".join(f"WHEN {i} THEN '{s[:3]}-{s[3:5]}-{s[5:]}'" for i, s in enumerate(V.EXAMPLE_SSNS)) + " ELSE '220-21-4279' END"
 
 
 def _listed(expr: str, kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +319,7 @@ def _streamed(spark: SparkSession, chunks: DataFrame) -> DataFrame:
 
 def stream_guard_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per conversation, its turns as chunks through the stream's guard, beside the batch over the joined text."""
-    turns = _read(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").select(F.col("conv_id").alias("doc_id"), "turn", F.concat(F.coalesce("text", F.lit("")), F.lit("\n Ref: 4556 7375 8689 9855 - noted. ")).alias("text"))
+    turns = _read(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").select(F.col("conv_id").alias("doc_id"), "turn", F.concat(F.coalesce("text", F.lit("")), F.lit("\n [see 6011 5333 1478 9326 there] ")).alias("text"))
     number = F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY turn, text)")
     turns = turns.withColumn("seq", number.cast("long") - 1)
     last = turns.groupBy("doc_id").agg(F.max("seq").alias("last"))
@@ -399,7 +399,7 @@ def oracle_sql() -> dict[str, str]:
     out["norm_strip_invisible"] = f"SELECT c_custkey, regexp_replace(text, '{chars['inv']}', '', 'g') AS folded FROM ({evasions})"
     out["norm_dash"] = f"SELECT c_custkey, regexp_replace(text, '{chars['dash']}', '-', 'g') AS folded FROM ({evasions})"
     out["norm_fullwidth_digits"] = f"SELECT c_custkey, replace(replace(text, chr(65297), '1'), chr(160), ' ') AS folded FROM ({evasions})"
-    out["norm_nfkc_full"] = f"SELECT c_custkey, 'jo@ex.com @ [at) 411 555-0100 ' || CAST(c_custkey AS STRING) || '-x' AS folded FROM customer"
+    out["norm_nfkc_full"] = f"SELECT c_custkey, 'li@vu.io @ [at) 411 555-0100 ' || CAST(c_custkey AS STRING) || '-x' AS folded FROM customer"
     out["norm_span_mapback"] = f"SELECT c_custkey, 0 AS first_byte, strlen(text) AS end_byte FROM ({evasions})"
     for k, (expr, _, rule) in IDENTIFIERS.items():
         out[k] = f"SELECT {_K}, identifier, {rule('identifier')} AS valid FROM (SELECT {_K}, {expr} AS identifier FROM orders)"
@@ -412,9 +412,9 @@ def oracle_sql() -> dict[str, str]:
     out["det_all_pages"] = f"SELECT {cols} FROM ({S.all_detections('(SELECT page_id AS doc_id, html AS t FROM pages)', 'doc_id')})"
     mails = lambda e: f"(SELECT c_custkey AS doc_id, 'to ' || {e} || ' now' AS t FROM customer)"
     email = S.detections(mails(_MAILS), "doc_id", "email")
-    out["allow_email_exact"] = f"SELECT {cols} FROM ({email}) WHERE lower(found) <> 'safety@acme.com'"
+    out["allow_email_exact"] = f"SELECT {cols} FROM ({email}) WHERE lower(found) <> 'desk@works.io'"
     out["allow_domain_suffix"] = f"SELECT {cols} FROM ({email}) WHERE NOT regexp_matches(lower(found), '[@.]allowed\\.org$')"
-    out["allow_phone_digits"] = f"SELECT {cols} FROM ({S.detections(mails(_PHONES), 'doc_id', 'phone_nanp')}) WHERE regexp_replace(found, '[^0-9]', '', 'g') <> '3125552368'"
+    out["allow_phone_digits"] = f"SELECT {cols} FROM ({S.detections(mails(_PHONES), 'doc_id', 'phone_nanp')}) WHERE regexp_replace(found, '[^0-9]', '', 'g') <> '4157772040'"
     for k, expr, kind in (("allow_reserved", _RESERVED, "email"), ("allow_test_cards", _CARDS, "payment_card"), ("allow_example_ssn", _SSNS, "us_ssn")):
         out[k] = f"SELECT {cols} FROM ({S.detections(mails(expr), 'doc_id', kind)})"
     matrix, cites = _matrix_sql(), _citations_sql()
@@ -450,6 +450,6 @@ def oracle_sql() -> dict[str, str]:
     out["report_jsonl"] = f"""{g} SELECT doc_id, "start", "end", '{{"audience":"site","action":"' || action || '","category":"' || category || '","source":"' || source || '","start":' || CAST("start" AS STRING) || ',"end":' || CAST("end" AS STRING) || ',"citations":' || {cited} || '}}' AS json FROM found"""
     out["finding_fingerprint"] = f'{g} SELECT doc_id, source, "start", "end", {_hmac_sql(TEST_KEY, "found")} AS fingerprint FROM found'
     out["utf8_status"] = "SELECT doc_id, 0 AS whole, CASE WHEN text IS NULL OR text = '' OR strlen(right(text, 1)) = 1 THEN 0 ELSE 4 END AS cut FROM documents"
-    bytes_ = "strlen(coalesce(text, '')) + strlen(chr(10) || ' Ref: 4556 7375 8689 9855 - noted. ')"
+    bytes_ = "strlen(coalesce(text, '')) + strlen(chr(10) || ' [see 6011 5333 1478 9326 there] ')"
     out["stream_guard_equals_batch"] = f"SELECT conv_id AS doc_id, sum({bytes_})::BIGINT AS batch_bytes, count(*) AS batch_findings, true AS equal FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id"
     return out
