@@ -15,10 +15,11 @@ NULL_ID = -(2**63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+        # the warehouse is shared too, where there is a cluster
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -51,6 +52,14 @@ def collect_garbage(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only. Texts of ASCII alone take the fast built-in, which is the same for them."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -503,18 +503,90 @@ def test_samples_agree_as_often_as_the_similarity():
 
 def test_block_max_search_is_exact():
     g = np.random.default_rng(6)
-    vectors = []
-    for _ in range(500):
-        v = {int(t): float(g.random()) for t in g.choice(60, g.integers(1, 9), replace=False)}
+    dense = g.random((700, 60)) * (g.random((700, 60)) < g.random(60) * 0.5)
+    dense[:, 0] += 0.01
+    dense /= np.sqrt((dense**2).sum(1, keepdims=True))
+    dense[300:320] = dense[5]
+    row, term = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex.build(row, term, dense[row, term], 700, 60)
+    assert index.blocks > 4
+    for i, q in enumerate(dense[:60]):
+        sims = dense @ q
+        terms = np.flatnonzero(q)
+        for but in (-1, i):
+            order = [j for j in np.lexsort((np.arange(700), -sims.round(12))) if sims[j] > 0 and j != but][:10]
+            rows, found = index.nearest(terms, q[terms], 10, but)
+            assert rows.tolist() == order and np.allclose(found, sims[order])
+
+
+def toxicity_brute(rows, labels, k=toxicity.NEAREST):
+    """Votes by plain dictionaries over all pairs, and a monotone fit by its minimax formula."""
+    words = [Counter(re.findall(r"\w+", (t or "").lower())) for _, t in rows]
+    known = {}
+    for i, _, y in labels:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5:
+            known[i] = max(y, known.get(i, 0))
+    own = [n for n, (i, t) in enumerate(rows) if i in known and t]
+    y = np.array([known[rows[n][0]] for n in own], float)
+    n1, n0, n_docs = y.sum(), len(y) - y.sum(), len(rows)
+    worth = {}
+    for w in {w for n in own for w in words[n]}:
+        has = np.array([w in words[n] for n in own])
+        a, b, df = (has & (y == 1)).sum(), (has & (y == 0)).sum(), sum(w in c for c in words)
+        table = np.array([[a, n1 - a], [b, n0 - b]])
+        want = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / table.sum()
+        g = 2 * sum(o * np.log(o / e) for o, e in zip(table.ravel(), want.ravel()) if o > 0)
+        tied = g >= 12 and a / n1 > 3 * b / max(n0, 1)
+        worth[w] = max(0.01, np.log((1 + n_docs) / (1 + df) + 1e-9)) * (0.05 + 0.95 * (min(1, g / max(0.3 * n1, 20)) if tied else 0))
+
+    def vector(c):
+        v = {w: (1 + np.log(n)) * worth[w] for w, n in c.items() if w in worth}
         size = np.sqrt(sum(x * x for x in v.values()))
-        vectors.append({t: x / size for t, x in v.items()})
-    index = toxicity.BlockMaxIndex(vectors, 60)
-    for q in vectors[:60]:
-        sims = np.array([sum(q.get(t, 0) * x for t, x in v.items()) for v in vectors])
-        order = np.lexsort((np.arange(500), -sims.round(12)))[:10]
-        rows, found = index.nearest(q, 10)
-        want = [i for i in order if sims[i] > 0]
-        assert rows.tolist() == want and np.allclose(found, sims[want])
+        return {w: x / size for w, x in v.items()}
+
+    vectors = [vector(words[n]) for n in own]
+    total = Counter(known.values())
+    prior = total[1] / max(1, sum(total.values()))
+
+    def vote(v, but=None):
+        sims = sorted(((sum(x * u.get(w, 0) for w, x in v.items()), y[m]) for m, u in enumerate(vectors) if m != but), reverse=True)[:k]
+        sims = [(s, l) for s, l in sims if s > 0]
+        return sum(s**2 * l for s, l in sims) / sum(s**2 for s, _ in sims) if sims else None
+
+    x = np.array([vote(v, m) for m, v in enumerate(vectors)])
+    weight = np.where(y == 1, total[1] / n1, total[0] / n0)
+    at = np.unique(x.round(9))
+    sw = np.cumsum([0, *(weight[abs(x - u) < 1e-8].sum() for u in at)])
+    sy = np.cumsum([0, *((weight * y)[abs(x - u) < 1e-8].sum() for u in at)])
+    mean = lambda i, j: (sy[j + 1] - sy[i]) / (sw[j + 1] - sw[i])
+    fit = np.array([max(min(mean(i, j) for j in range(m, len(at))) for i in range(m + 1)) for m in range(len(at))])
+    pools = [np.flatnonzero(abs(fit - f) < 1e-9) for f in np.unique(fit.round(10))]
+    centres = [np.average(at[p], weights=np.diff(sw)[p]) for p in pools]
+    votes = [vote(vector(c)) for c in words]
+    return [prior if v is None else np.interp(v, centres, [fit[p[0]] for p in pools]) for v in votes]
+
+
+def test_toxicity_scores_are_the_brute_forces(spark):
+    r, bad = random.Random(19), ["awfulperson", "terrible", "nastyword"]
+    rows, labels = [], []
+    for i in range(150):
+        words, toxic = sentence(r, r.randint(20, 60)).split(), int(r.random() < 0.35)
+        for _ in range(2 * toxic):
+            words[r.randrange(len(words))] = r.choice(bad) + r.choice(["", "!", "$$$"])
+        rows.append((i, " ".join(words).capitalize()))
+        labels.append((i, 1, toxic))
+    rows += [(500, None), (501, "zzzzunknown")]
+    got = {x.doc_id: x.score for x in toxicity.toxicity_report(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(toxicity_brute(rows, labels), abs=1e-6)
+
+
+def test_clean_texts_have_neighbours_by_their_words(spark):
+    r, topics, rows = random.Random(29), [[f"{a}{i}" for i in range(40)] for a in ("stone", "river", "cloud")], []
+    for i in range(120):
+        rows.append((i, " ".join(r.choice(topics[i % 3]) for _ in range(40)) + (" nastyword" if i % 10 == 0 else "")))
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    for x in toxicity.toxicity_report(frame(spark, rows), labels).where("doc_id % 10 <> 0").collect():
+        assert x.evidence and all(e % 3 == x.doc_id % 3 for e in x.evidence)
 
 
 def test_toxicity(spark, docs, empty, rows):
