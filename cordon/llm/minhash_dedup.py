@@ -1,24 +1,28 @@
 """Operator 9: near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is lower-cased and split at white space; its shingles are five words in a row (fewer words: all of
-them). A shingle weighs its count times the mean idf of its words; idf lies between 1 and 2 and comes from
-document frequencies over all documents in a table of fixed size, addressed by the word's hash, so what is
-sent to executors doesn't grow. Improved consistent weighted sampling (Ioffe) draws `bands * rows` samples
-whose chance to agree is the weighted Jaccard similarity; texts that agree in a whole band are candidates and
-are linked only when their exact weighted Jaccard similarity is at least `similarity`.
-
-Rows with equal texts are one class from the start. In a small bucket all texts are compared; in a large one
-first each text with three pivots (the smallest and largest id, and one drawn by hash). Large buckets whose
-texts are then still in different components are finished exactly: their texts are dealt into blocks by total
-weight, and every two blocks whose weights allow the similarity are compared as wholes, by sums of shared
-weights, except for what the bucket's largest component has inside. So no link in a bucket is left out, and
-misses are left to the chance of the samples alone, of which the tests and the README give figures. Work in
-such a bucket grows with the square of its members.
-
-Cases: null and empty texts (no words) are equal texts of one class; very long texts take their samples in
-slices of shingles; ties go to the smallest doc_id; rows that share a doc_id count as one document, a null
-doc_id is the smallest id; an empty table gives no rows; other columns, whatever their names, are kept by
-`keep_one` and not read.
+them). A shingle weighs its count times the mean idf of its words. idf is 1 + log(documents / documents with the
+word) / log(RARE), between 1 and 2, so it follows from a word's share of the documents and is alike at every
+size; shares come from counts over all documents in a table of fixed size, addressed by the word's hash, so
+what is sent to executors doesn't grow. (Words that fall into one cell add up; a cell of rare words alone stays
+under one in RARE.) Improved consistent weighted sampling (Ioffe) draws `bands * rows` samples whose chance to
+agree is the weighted Jaccard similarity; texts that agree in a whole band are candidates and are linked only
+when their exact weighted Jaccard similarity is at least `similarity`.
+
+Rows with equal texts are one class from the start. Buckets with the same texts are one. In each bucket every
+text is first compared with one pivot, if their total weights allow the similarity: a text travels once for
+each pivot, and a pivot's text once for each of its salted groups. Buckets whose texts are then still in
+different components are finished exactly: their texts are dealt into blocks by total weight, and every two
+blocks whose weights allow the similarity are compared as wholes, by sums of shared weights, except for what
+the bucket's largest component has inside. So no link in a bucket is left out, and misses are left to the
+chance of the samples alone, of which the tests and the README give figures. Work in a bucket that stays mixed
+grows with the square of its members.
+
+Cases: null and empty texts are equal texts of one class, and other texts without words are equal only if they
+are the same; very long texts take their samples in
+slices of shingles; ties go to the smallest doc_id; rows that share a doc_id but not the text are compared as
+texts of their own, and repeated rows are equal texts; a null doc_id is the smallest id; an empty table gives
+no rows; other columns, whatever their names, are kept by `keep_one` and not read.
 """
 
 from __future__ import annotations
@@ -32,14 +36,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .line_dedup import U64, mix
-from .shared import NULL_ID, collect_garbage, components, discard, table
+from .shared import NULL_ID, collect_garbage, components, discard, free_name, runtime_filter, table
 from .words import Words, chained, runs, slices
 
 SHINGLE = 5
 BUCKETS = 1 << 18
 _DRAWS = 1 << 16
-#: Texts and bytes of a block of a large bucket, and shared weights summed at once.
+#: A word in fewer than one of so many documents has the largest idf.
+RARE = 1024
+#: Texts and bytes of a block of a mixed bucket, and shared weights summed at once.
 BLOCK, BLOCK_BYTES, COLUMNS = 256, 8 << 20, 2048
+#: Texts and bytes that are compared with one copy of a pivot.
+STAR, STAR_BYTES = 512, 16 << 20
 
 
 def _bucket(words: np.ndarray) -> np.ndarray:
@@ -66,16 +74,15 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         found = np.flatnonzero(df)
         yield pd.DataFrame({"bucket": found, "n": df[found]})
 
+    rows = docs.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS + 1 rows at most
     out = np.zeros(BUCKETS + 1)
-    rows = docs.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    for r in rows.toLocalIterator():  # BUCKETS + 1 rows at most
-        out[r.bucket] = r.n
+    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
 def idf_table(df: np.ndarray) -> np.ndarray:
-    n = max(df[-1], 1.0)
-    return (1 + np.log((1 + n) / (1 + np.minimum(df[:-1], n))) / np.log(1 + n)).astype(np.float32)
+    share = np.maximum(df[:-1], 1) / max(df[-1], 1.0)
+    return (1 - np.log(share.clip(1 / RARE, 1)) / np.log(RARE)).astype(np.float32)
 
 
 class Shingles:
@@ -137,9 +144,16 @@ class Sampler:
         return won
 
 
-def signatures(docs: DataFrame, idf, n_samples: int) -> DataFrame:
-    """id, k1, k2 (128-bit key of the text), samples, weight (of all shingles), bytes for each row of docs; no samples where there is no word."""
-    sampler = Sampler(n_samples)
+def signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
+    """id, at (a hash of the text as it is), k1, k2 (128-bit key of the lower-cased text), keys (of the bands; none where there is no word), weight (of all shingles), bytes for each row of docs."""
+    sampler = Sampler(bands * rows)
+
+    def band_keys(h, w) -> np.ndarray:
+        own = sampler.samples(h, w).reshape(bands, rows)
+        out = np.arange(bands, dtype=np.uint64)
+        for k in range(rows):
+            out = chained(own[:, k], out, 20 + k)
+        return out.view(np.int64)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -149,10 +163,14 @@ def signatures(docs: DataFrame, idf, n_samples: int) -> DataFrame:
             for a, b in slices(texts):
                 s = Shingles(texts[a:b], idf.value)
                 sums += [float(w.sum()) for w in s.weight]
-                out += [sampler.samples(h, w).view(np.int64) if len(h) else np.zeros(0, np.int64) for h, w in zip(s.hash, s.weight)]
-            yield pd.DataFrame({"id": pdf["id"], "k1": keys[:, 0], "k2": keys[:, 1], "samples": out, "weight": sums, "bytes": [len(t) for t in texts]})
+                out += [band_keys(h, w) if len(h) else np.zeros(0, np.int64) for h, w in zip(s.hash, s.weight)]
+            yield pd.DataFrame({"id": pdf["id"], "at": pdf["at"], "k1": keys[:, 0], "k2": keys[:, 1], "keys": out, "weight": sums, "bytes": [len(t) for t in texts]})
+
+    return _base(docs).mapInPandas(sign, "id long, at long, k1 long, k2 long, keys array<bigint>, weight double, bytes long")
 
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").mapInPandas(sign, "id long, k1 long, k2 long, samples array<bigint>, weight double, bytes long")
+
+def _base(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("at"), "text")
 
 
 def weighted_jaccard(h1, w1, h2, w2) -> float:
@@ -162,22 +180,34 @@ def weighted_jaccard(h1, w1, h2, w2) -> float:
     return float(both / either) if either > 0 else 0.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact weighted Jaccard similarity is at least `similarity`."""
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+def _stars(members: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+    """Links (a, b) between the texts of a bucket and its pivot.
+
+    Texts come to their pivot's group behind one copy of the pivot's text, so a worker holds one pivot at a time.
+    """
+    least = similarity - 1e-6
+    near = (F.col("weight") >= least * F.col("pivot.weight")) & (F.col("pivot.weight") >= least * F.col("weight"))
+    pairs = members.where((F.col("uid") != F.col("pivot.uid")) & near).groupBy(F.col("pivot.uid").alias("a"), F.col("uid").alias("b")).agg(F.first("bytes").alias("bytes"))
+    sizes = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / STAR), F.ceil(F.sum("bytes") / STAR_BYTES), F.lit(1)).cast("int").alias("salts"))
+    pairs = table(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "near-stars")
+    own = pairs.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("uid"))
+    rows = own.union(pairs.select("a", "salt", F.lit(1), "b")).join(texts, "uid")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivot, own = None, None
         for pdf in batches:
-            own = {**dict(zip(pdf["a"], pdf["ta"])), **dict(zip(pdf["b"], pdf["tb"]))}
-            ids, raw, found = list(own), _encoded(own.values()), {}
+            raw, sides, ids, out = _encoded(pdf["text"]), pdf["side"].to_numpy(), pdf["uid"].to_numpy(), []
             for x, y in slices(raw):
                 s = Shingles(raw[x:y], idf.value)
-                found.update(zip(ids[x:y], zip(s.hash, s.weight)))
-            sim = np.array([weighted_jaccard(*found[a], *found[b]) for a, b in zip(pdf["a"], pdf["b"])])
-            yield pdf.loc[sim >= similarity - 1e-9, ["a", "b"]]
+                for i, h, w in zip(range(x, y), s.hash, s.weight):
+                    if sides[i] == 0:
+                        pivot, own = ids[i], (h, w)
+                    elif weighted_jaccard(*own, h, w) >= similarity - 1e-9:
+                        out.append((pivot, ids[i]))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return both.mapInPandas(check, "a long, b long")
+    return rows.select("side", "uid", "text").mapInPandas(check, "a long, b long")
 
 
 def shared_weights(hashes: list[np.ndarray], weights: list[np.ndarray], n: int) -> np.ndarray:
@@ -233,14 +263,15 @@ def block_links(ids, parts, hashes: list[np.ndarray], weights: list[np.ndarray],
     return out
 
 
-def _finished(members: DataFrame, texts: DataFrame, labels: DataFrame, idf, similarity: float, direct: int) -> DataFrame:
-    """Links (a, b) between components in large buckets, all of them or such that the others follow."""
-    large = members.where(F.col("n") > direct).join(labels, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    per = large.groupBy("bucket").agg(F.mode("c").alias("main"), (F.min("c") != F.max("c")).alias("mixed")).where("mixed")
+def _finished(members: DataFrame, texts: DataFrame, labels: DataFrame, idf, similarity: float) -> DataFrame:
+    """Links (a, b) between components in mixed buckets, all of them or such that the others follow."""
+    large = members.where("n > 2").join(labels, "uid", "left").withColumn("c", F.coalesce("component", "uid"))
+    each = large.groupBy("bucket", "c").agg(F.count("*").alias("own"))
+    per = each.groupBy("bucket").agg(F.max_by("c", F.struct("own", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
     dealt = large.join(per, "bucket").withColumn("inner", F.col("c") == F.col("main"))
-    w = Window.partitionBy("bucket", "inner").orderBy("weight", "id")
+    w = Window.partitionBy("bucket", "inner").orderBy("weight", "uid")
     at = F.floor((F.row_number().over(w) - 1) / BLOCK) + F.floor(F.sum("bytes").over(w) / BLOCK_BYTES)
-    dealt = table(dealt.select("bucket", "id", "c", "inner", "weight", at.alias("block")), "near-dealt")
+    dealt = table(dealt.select("bucket", "uid", "c", "inner", "weight", at.alias("block")), "near-dealt")
     blocks = dealt.groupBy("bucket", "inner", "block").agg(F.min("weight").alias("lo"), F.max("weight").alias("hi"))
     x = blocks.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("inner", "block", "lo", "hi")])
     y = blocks.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("inner", "block", "lo", "hi")])
@@ -251,72 +282,64 @@ def _finished(members: DataFrame, texts: DataFrame, labels: DataFrame, idf, simi
     side = lambda s, k: two.select("*", F.lit(k).alias("side"), F.col(f"{s}_inner").alias("inner"), F.col(f"{s}_block").alias("block"))
     same = (F.col("x_inner") == F.col("y_inner")) & (F.col("x_block") == F.col("y_block"))
     sides = side("x", 0).union(side("y", 1).where(~same))
-    rows = sides.join(dealt, ["bucket", "inner", "block"]).join(texts, "id")
+    rows = sides.join(dealt, ["bucket", "inner", "block"]).join(texts, "uid")
     key = ["bucket", "x_inner", "x_block", "y_inner", "y_block"]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "id"])
+        pdf = pdf.sort_values(["side", "uid"])
         raw, hashes, weights = _encoded(pdf["text"]), [], []
         for a, b in slices(raw):
             s = Shingles(raw[a:b], idf.value)
             hashes, weights = hashes + s.hash, weights + s.weight
         n = int((pdf["side"] == 0).sum())
-        found = block_links(pdf["id"].tolist(), pdf["c"].tolist(), hashes, weights, n if n < len(pdf) else 0, similarity)
+        found = block_links(pdf["uid"].tolist(), pdf["c"].tolist(), hashes, weights, n if n < len(pdf) else 0, similarity)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.select(*key, "side", "id", "c", "text").groupBy(*key).applyInPandas(compare, "a long, b long")
-
-
-def _keys(samples: str, bands: int, rows: int) -> list:
-    """The band keys: disjoint samples."""
-    return [F.xxhash64(F.lit(0), F.lit(i), *[F.get(samples, F.lit(k)) for k in range(i * rows, (i + 1) * rows)]) for i in range(bands)]
-
+    return rows.select(*key, "side", "uid", "c", "text").groupBy(*key).applyInPandas(compare, "a long, b long")
 
-def _members(own: DataFrame, keys: list) -> DataFrame:
-    """id, bucket of the texts that share a bucket with another, and n, how many do."""
-    all_ = own.where(F.size("samples") > 0).select(F.col("rep").alias("id"), "weight", "bytes", F.explode(F.array(*keys)).alias("bucket"))
-    sizes = all_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("p0"), F.max("id").alias("p1"), F.min_by("id", F.xxhash64("id", "bucket")).alias("p2")).where("n > 1")
-    return all_.join(sizes, "bucket")
 
+def _members(own: DataFrame) -> DataFrame:
+    """uid, weight, bytes, bucket of the texts that share a bucket with another; n, how many do, and pivot, one of them.
 
-def _candidates(members: DataFrame, direct: int) -> DataFrame:
-    """Pairs (a < b): all of a small bucket; in others each member with three pivots."""
-    small = members.where(F.col("n") <= direct).select("bucket", "id")
-    all_ = small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), "bucket").where("a < b").select("a", "b")
-    large = members.where(F.col("n") > direct)
-    for p in ("p0", "p1", "p2"):
-        all_ = all_.union(large.where(F.col("id") != F.col(p)).select(F.least("id", p), F.greatest("id", p)))
-    return all_.distinct()
+    Of buckets with the same texts (by number, first text and two sums of hashes) one is left.
+    """
+    all_ = own.select("uid", "weight", "bytes", F.explode("keys").alias("bucket"))
+    mix_ = lambda seed: F.sum(F.shiftright(F.xxhash64("uid", F.lit(seed)), 20))
+    sizes = all_.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("uid", "weight")).alias("pivot"), mix_(1).alias("s1"), mix_(2).alias("s2")).where("n > 1")
+    one = sizes.groupBy("n", "pivot", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "pivot")
+    return all_.join(one, "bucket")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 12, rows: int = 4, direct: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 12, rows: int = 4) -> DataFrame:
     """id, class_id for each row of docs; class_id is the smallest id among the texts that links reach."""
-    spark, n_samples = docs.sparkSession, bands * rows
+    spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(idf_table(document_frequencies(docs)))  # BUCKETS floats
-    signed = table(signatures(docs, idf, n_samples), "near-signatures")
-    own = signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("samples").alias("samples"), F.first("weight").alias("weight"), F.first("bytes").alias("bytes"))
-    own = table(own, "near-texts")
-    members = table(_members(own, _keys("samples", bands, rows)), "near-members")
-    base = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text")
-    texts = table(base.join(members.select("id").distinct(), "id").dropDuplicates(["id"]), "near-candidates")
+    signed = table(signatures(docs, idf, bands, rows), "near-signatures")
+    # a vertex is a distinct text
+    own = signed.groupBy("k1", "k2").agg(F.min(F.struct("id", "at")).alias("rep"), *[F.first(c).alias(c) for c in ("keys", "weight", "bytes")])
+    own = table(own.withColumn("uid", F.monotonically_increasing_id()), "near-texts")
+    members = table(_members(own), "near-members")
+    wanted = members.select("uid").distinct().join(own.select("uid", "rep.id", "rep.at"), "uid")
+    wanted = table(wanted, "near-wanted")
+    # texts without a partner stay where they are, for the most part
+    with runtime_filter(spark, wanted.count()):
+        found = _base(docs).join(wanted.where(F.col("uid") >= 0), ["id", "at"])
+        texts = table(found.dropDuplicates(["id", "at"]).select("uid", "text"), "near-candidates")
+    discard(wanted)
     collect_garbage(spark)
-    found = table(verified(_candidates(members, direct), texts, idf, similarity), "near-links")
+    found = table(_stars(members, texts, idf, similarity), "near-links")
     # label: the component of each text that has links so far
-    labels = table(components(found, "a", "b").withColumnRenamed("v", "id"), "near-labels")
+    labels = components(found, "a", "b").withColumnRenamed("v", "uid")
     collect_garbage(spark)
-    found = table(_finished(members, texts, labels, idf, similarity, direct), "near-links")
-    if found.limit(1).count():
-        # the components that these links join are joined as wholes
-        of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-        joint = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
-        joint = components(joint, "a", "b")
-        # labels of texts with links before, and of texts whose first link this is
-        old = labels.join(joint.withColumnRenamed("component", "new"), F.col("component") == F.col("v"), "left").select("id", F.coalesce("new", "component").alias("component"))
-        new = joint.join(labels.select(F.col("id").alias("v")), "v", "left_anti").select(F.col("v").alias("id"), "component")
-        labels = table(old.union(new), "near-labels")
+    more = table(_finished(members, texts, labels, idf, similarity), "near-links")
     discard(texts, members)
+    idf.destroy()
+    if more.limit(1).count():
+        labels = components(found.union(more), "a", "b").withColumnRenamed("v", "uid")
     collect_garbage(spark)
-    classes = own.select("k1", "k2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"))
+    classes = own.select("k1", "k2", "uid", "rep.id").join(labels, "uid", "left").withColumn("c", F.coalesce("component", "uid"))
+    least = classes.groupBy("c").agg(F.min("id").alias("class_id"))
+    classes = classes.join(least, "c").select("k1", "k2", "class_id")
     return signed.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "class_id")
 
 
@@ -329,5 +352,6 @@ def near_duplicate_report(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose id is the smallest of its class."""
-    kept = near_duplicates(docs, **options).where("id = class_id").select(F.col("id").alias("__id")).distinct()
-    return docs.join(kept, F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == F.col("__id"), "left_semi")
+    to = free_name(docs, "id")
+    kept = near_duplicates(docs, **options).where("id = class_id").select(F.col("id").alias(to)).distinct()
+    return docs.join(kept, F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == kept[to], "left_semi")

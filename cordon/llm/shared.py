@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,22 @@ def collect_garbage(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def runtime_filter(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Joins that run in here and need a shuffle leave out rows without a partner before it, by a Bloom filter over
+    about `rows` rows of the smaller side. The filter's size has Spark's bound (8 MB); beyond it more rows pass."""
+    names = "spark.sql.optimizer.runtime.bloomFilter."
+    own = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1t", "expectedNumItems": str(max(rows, 1000)), "maxNumItems": "1000000000"}
+    before = {k: spark.conf.get(names + k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(names + k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(names + k) if v is None else spark.conf.set(names + k, v)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of df is called so."""
     taken = {c.lower() for c in df.columns}
