@@ -1,7 +1,10 @@
 """Operator 4: SentencePiece encoding and decoding.
 
 Pieces with log scores are read from a model file's vocabulary and laid out in a double-array trie over UTF-8
-bytes. Encoding writes white-space markers for spaces (with one before the text), finds by Viterbi search the
+bytes. The scores of a unigram model are log probabilities and taken as they are. A BPE model's scores are ranks
+(0, -1, -2, ..), whose sums mean nothing; as its pieces are in the order of how often they were met, a piece of
+rank r gets the log probability that Zipf's law gives it, -log((r + 1) * sum of all 1 / (k + 1)). Nothing is
+trained. Encoding writes white-space markers for spaces (with one before the text), finds by Viterbi search the
 segmentation with the highest sum of scores, and writes a character that no piece covers as byte pieces.
 Decoding turns byte pieces into bytes, markers into spaces, and drops the one in front, so that
 decode(encode(text)) is the text.
@@ -13,7 +16,8 @@ Ties go to the longer last piece.
 
 Cases: a null text gives null pieces and decodes to null, an empty one none; very long texts and chunks have
 no limit; a marker character in the text itself decodes to a space; repeated rows are coded alike; an empty
-table gives no rows; other columns, whatever their names, are kept by `encode` and not read.
+table gives no rows; other columns are kept by `encode` and not read, and one that has the name of a new column
+gives way to it.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+#: The kind of model whose scores are log probabilities.
+UNIGRAM = 1
 #: Scores below this mark pieces that are never to be chosen; a character without a piece scores PENALTY below the rest.
 NEVER, PENALTY = -1e8, 10.0
 #: Chunks up to this many bytes are searched side by side.
@@ -40,40 +46,51 @@ SLICE = 1 << 20
 CACHED = 400_000
 
 
+def _varint(b: bytes, i: int) -> tuple[int, int]:
+    out = shift = 0
+    while True:
+        out |= (b[i] & 127) << shift
+        shift += 7
+        i += 1
+        if b[i - 1] < 128:
+            return out, i
+
+
+def _fields(b: bytes) -> Iterator[tuple[int, object]]:
+    """(number, value) of the fields of a message."""
+    i = 0
+    while i < len(b):
+        tag, i = _varint(b, i)
+        if tag & 7 == 2:
+            n, i = _varint(b, i)
+            yield tag >> 3, b[i : i + n]
+            i += n
+        elif tag & 7 == 0:
+            v, i = _varint(b, i)
+            yield tag >> 3, v
+        else:
+            n = 4 if tag & 7 == 5 else 8
+            yield tag >> 3, b[i : i + n]
+            i += n
+
+
 def read_pieces(raw: bytes) -> list[tuple[str, float, int]]:
-    """(piece, score, kind) of a model file: field 1 of the message, with fields 1 string, 2 float, 3 enum."""
-
-    def varint(b: bytes, i: int) -> tuple[int, int]:
-        out = shift = 0
-        while True:
-            out |= (b[i] & 127) << shift
-            shift += 7
-            i += 1
-            if b[i - 1] < 128:
-                return out, i
-
-    def fields(b: bytes) -> Iterator[tuple[int, object]]:
-        i = 0
-        while i < len(b):
-            tag, i = varint(b, i)
-            if tag & 7 == 2:
-                n, i = varint(b, i)
-                yield tag >> 3, b[i : i + n]
-                i += n
-            elif tag & 7 == 0:
-                v, i = varint(b, i)
-                yield tag >> 3, v
-            else:
-                n = 4 if tag & 7 == 5 else 8
-                yield tag >> 3, b[i : i + n]
-                i += n
-
-    out = []
-    for number, value in fields(raw):
+    """(piece, log score, kind) of a model file: field 1 of the message, with fields 1 string, 2 float, 3 enum; its kind of model is field 3 of field 2."""
+    out, model = [], UNIGRAM
+    for number, value in _fields(raw):
+        own = dict(_fields(value)) if number in (1, 2) else {}
         if number == 1:
-            own = dict(fields(value))
             out.append((own[1].decode(), float(np.frombuffer(own.get(2, b"\0\0\0\0"), "<f4")[0]), own.get(3, NORMAL)))
-    return out
+        elif number == 2:
+            model = own.get(3, UNIGRAM)
+    return out if model == UNIGRAM else by_zipf(out)
+
+
+def by_zipf(pieces: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """pieces whose scores are ranks below 0, with log probabilities in their place."""
+    ranks = np.array([-s for _, s, k in pieces if k == NORMAL])
+    total = np.log((1 / (ranks + 1)).sum()) if len(ranks) else 0.0
+    return [(p, float(-np.log(1 - s) - total) if k == NORMAL else s, k) for p, s, k in pieces]
 
 
 @dataclass
@@ -310,10 +327,13 @@ def load_pieces(path: str) -> Pieces:
 
 def encode(docs: DataFrame, pieces: Pieces, column: str = "text", to: str = "pieces", check: str | None = None) -> DataFrame:
     """docs with `to`, the ids of the pieces of `column`; with `check`, also a column of that name: does decoding them give the text?
+    Columns of docs with these names (but for `column`) give way.
 
     Batches go through in slices of text, so a worker holds little more than what comes in at once.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pieces)  # as large as the vocabulary
+    taken = {to.lower(), (check or to).lower()}
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == column or c.lower() not in taken])
     at = docs.columns.index(column)
     new = [T.StructField(to, T.ArrayType(T.IntegerType())), *([T.StructField(check, T.BooleanType())] if check else [])]
     schema = T.StructType([*docs.schema.fields, *new])

@@ -245,8 +245,18 @@ def test_pieces_of_rows(spark, docs, empty, pieces, rows):
     assert out.count() == len(rows) and out.where("NOT round_trip").count() == 0
     assert sentencepiece.coded_documents(empty, MODEL).count() == 0
     assert out.where("doc_id = 1000 AND pieces IS NULL").count() == 1 and out.where("doc_id = 1001 AND size(pieces) = 0").count() == 1
-    with_columns = sentencepiece.encode(docs, pieces)
-    assert with_columns.columns == [*docs.columns, "pieces"]
+    for r in out.where("doc_id <> 1004 AND n_pieces BETWEEN 1 AND 3000").join(docs.select("doc_id", "text"), "doc_id").collect():
+        assert path_score(pieces, r.pieces) == pytest.approx(best_score(pieces, r.text))
+    with_columns = sentencepiece.encode(docs.withColumn("pieces", F.lit("x")).withColumn("Ok", F.lit(1)), pieces, check="ok")
+    assert with_columns.columns == [*docs.columns, "pieces", "ok"]
+    assert with_columns.where("NOT ok").count() == 0
+
+
+def test_log_scores_take_whole_words(pieces):
+    said = "The quick brown fox jumps over the lazy dog"
+    own = [pieces.names[i] for i in pieces.encode_batch([said])[0]]
+    assert own == ["▁The", "▁quick", "▁brown", "▁f", "ox", "▁j", "umps", "▁over", "▁the", "▁lazy", "▁dog"]
+    assert np.exp(pieces.scores[pieces.kinds == 1]).sum() == pytest.approx(1)
 
 
 def test_double_array():
