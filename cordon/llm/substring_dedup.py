@@ -1,19 +1,24 @@
 """Operator 6: substring dedup over prefix-partitioned suffix trees.
 
-Suffixes are those that start at a word with 50 words to come. They are dealt to groups by a prefix that is
-found in all copies alike: of the 16-word runs in the suffix's first 50 words, the one with the least hash
-(the leftmost of equals). Neighbouring suffixes mostly share it, so they travel as one short stretch of words.
-Prefixes of one document alone are left out after a count, as their subtrees have no leaves of two documents.
-The others are put together to groups of a size that fits a task; in each, the tree's nodes at depths 1, 2, 4,
-.. 32 and 50 are named level by level, and nodes at depth 50 with leaves of several documents are the repeats:
-leaves of all but the smallest doc_id are marked. A prefix that too many suffixes share is lengthened to all
-50 words at once (as a 128-bit hash), and its nodes are counted by map-side combined aggregation instead.
-
+Suffixes are those that start at a word with 50 words to come. Sending each of them with its words would be
+many times the input, so suffixes are anchored: of the 16-word runs in a suffix's first 50 words the one with the
+least hash (the leftmost of equals) is its anchor. Equal 50-word beginnings have equal anchors at equal places,
+and neighbours mostly share one, so they travel as one short stretch of words. The trees are partitioned by the
+words that stand at the anchor, as a prefix of 16 words. Prefixes of one document alone are left out after a
+count, as their subtrees have no leaves of two documents; those shared by up to `most_shared` stretches are put
+together to groups that fit a task. Each group gets its suffix tree, as a suffix array with the lengths of common
+beginnings, over words that are named by content; the topmost internal nodes of depth 50 or more are the
+repeats: leaves of all but the smallest doc_id are marked, and marked neighbours make maximal ranges. A prefix
+that too many stretches share is lengthened to the suffix's own 50 words (as a 128-bit hash), and its nodes are
+counted by map-side combined aggregation instead.
+
+Documents with the same words as one with a smaller doc_id lose them all without a tree, if they have 50.
 The words that marked suffixes cover are removed; marks are made on the input, never on what is left.
 
-Cases: null, empty and short texts have no suffix and keep all words; very long texts are read in slices;
-of equal texts the smallest doc_id keeps its words, rows with the same doc_id do not mark each other, and a
-null doc_id is the smallest; an empty table gives no rows; other columns, whatever their names, are not read.
+Cases: null, empty and short texts have no suffix and keep all words; a very long text is read whole, by itself,
+so a worker needs memory for its longest text; of equal texts the smallest doc_id keeps its words, rows with the
+same doc_id do not mark each other, and a null doc_id is the smallest; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import mix
-from .shared import NULL_ID, collect_garbage, discard, table
+from .shared import NULL_ID, collect_garbage, discard, runtime_filter, table
 from .words import Words, runs, slices
 
 DEPTH, PREFIX = 50, 16
@@ -84,21 +89,46 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["id"], "key": pdf["key"], **dict(zip(("n_words", "sha", "h", "first", "count"), map(list, zip(*out)) if out else [[]] * 5))})
 
 
+class SuffixTree:
+    """The suffix tree of sequences of words, down to `depth` words, as a sorted array of suffixes and the length of
+    the beginning that each shares with the one before it. Words are named by content."""
+
+    def __init__(self, sequences: list[bytes], counts: np.ndarray, depth: int = DEPTH):
+        known: dict[bytes, int] = {}
+        words = [w for s in sequences for w in s.split(b" ")]
+        names = [np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))]
+        sizes = np.array([s.count(b" ") + 1 for s in sequences], np.int64)
+        # names[k][i]: the rank of the 2^k words from i on; equal exactly where the words are
+        while 2 << (len(names) - 1) <= depth:
+            half, m = names[-1], 1 << (len(names) - 1)
+            names.append(np.unique(half[:-m].astype(np.int64) << 32 | half[m:], return_inverse=True)[1].astype(np.int32))
+        self.names, self.depth = names, depth
+        first = np.cumsum(sizes) - sizes
+        #: Where the suffixes start, `counts` of them in each sequence.
+        self.start = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        top = 1 << (len(names) - 1)
+        self.order = np.lexsort((names[-1][self.start + depth - top], names[-1][self.start]))
+        at = self.start[self.order]
+        self.shared = np.zeros(len(at), np.int64)
+        for k in range(len(names) - 1, -1, -1):
+            m = 1 << k
+            go = np.flatnonzero(self.shared[1:] + m <= depth) + 1
+            same = names[k][at[go] + self.shared[go]] == names[k][at[go - 1] + self.shared[go]]
+            self.shared[go[same]] += m
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """For each suffix its topmost node of at least that depth; a node of one leaf has a number of its own."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(self.shared < depth) - 1
+        return out
+
+
 def deep_marks(stretches: list[bytes], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For suffixes (counts of them at the beginning of each stretch): is the node at depth 50 also in a smaller id?"""
-    w = Words(stretches)
-    # names of the tree's nodes: equal where the first m words are equal
-    names, m = np.unique(w.hash, return_inverse=True)[1].astype(np.int64), 1
-    while m * 2 <= DEPTH:
-        names = np.unique(names[:-m] * (len(names) + 1) + names[m:], return_inverse=True)[1].astype(np.int64)
-        m *= 2
-    rest = DEPTH - m
-    names = names[: len(names) - rest] * (len(names) + 1) + names[rest:]
-    at = np.repeat(w.first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    leaf, who = np.unique(names[at], return_inverse=True)[1], np.repeat(ids, counts)
-    least = np.full(leaf.max() + 1 if len(leaf) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, leaf, who)
-    return who > least[leaf]
+    """For suffixes (counts of them at the beginning of each stretch): is there a leaf of a smaller id under the node at depth 50?"""
+    node, who = SuffixTree(stretches, counts).nodes(DEPTH), np.repeat(ids, counts)
+    least = np.full(node.max() + 1 if len(node) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, node, who)
+    return who > least[node]
 
 
 def _ranges(marks: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,18 +149,24 @@ def _subtrees(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids[own], "key": pdf["key"].to_numpy()[own], "lo": lo, "hi": hi})
 
 
-def repeated_ranges(docs: DataFrame, group_rows: int = 16384, most_shared: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(survey, candidates, ranges): all rows with word counts, the texts with shared prefixes, and word ranges to remove."""
-    text = F.coalesce("text", F.lit(""))
+def repeated_ranges(docs: DataFrame, group_rows: int = 16384, most_shared: int = 256) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(survey, copies, candidates, ranges): all rows with word counts, those that lose all words, texts with shared prefixes, and word ranges to remove."""
+    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
     base = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     survey = table(base.mapInPandas(_survey, "id long, key long, n_words long, sha string, h array<bigint>, first array<int>, count array<int>"), "substring-survey")
-    each = survey.select("id", "key", F.explode(F.arrays_zip("h", "first", "count")).alias("s")).select("id", "key", "s.*")
+    whole = survey.where(F.col("n_words") >= DEPTH).select("id", "key", "n_words", "sha")
+    least = whole.groupBy("sha").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("sha", "least")
+    copies = table(whole.join(least, "sha").where("id > least").select("id", "key", "n_words").distinct(), "substring-copies")
+    each = survey.join(copies, ["id", "key"], "left_anti").select("id", "key", F.explode(F.arrays_zip("h", "first", "count")).alias("s")).select("id", "key", "s.*")
     shared = each.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("sharing")).where("a <> b").select("h", "sharing")
     shared = table(shared, "substring-shared")
-    found = each.join(shared, "h").groupBy("id", "key").agg(F.collect_list(F.struct("h", "sharing", "first", "count")).alias("s"))
-    candidates = table(base.join(found, ["id", "key"]).dropDuplicates(["id", "key"]), "substring-texts")
-    discard(shared)
-    collect_garbage(docs.sparkSession)
+    found = each.join(shared, "h").groupBy("id", "key").agg(F.collect_list(F.struct("h", "sharing", "first", "count")).alias("s"))  # at most the stretches of one text
+    found = table(found, "substring-found")
+    # texts without a shared prefix stay where they are, for the most part
+    with runtime_filter(spark, found.count()):
+        candidates = table(base.join(found.where(F.size("s") > 0), ["id", "key"]).dropDuplicates(["id", "key"]), "substring-texts")
+    discard(shared, found)
+    collect_garbage(spark)
 
     def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -153,11 +189,13 @@ def repeated_ranges(docs: DataFrame, group_rows: int = 16384, most_shared: int =
     groups = max(1, -(-cold.count() // group_rows))
     marked = cold.withColumn("group", F.pmod("h", F.lit(groups))).groupBy("group").applyInPandas(_subtrees, "id long, key long, lo int, hi int")
     hot = rows.where("words is null").select("id", "key", "first", F.posexplode(F.arrays_zip("d1", "d2")).alias("at", "d")).select("id", "key", (F.col("first") + F.col("at")).alias("lo"), "d.d1", "d.d2")
-    least = hot.groupBy("d1", "d2").agg(F.min("id").alias("least"))
+    least = hot.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("d1", "d2", "least")
     deep = hot.join(least, ["d1", "d2"]).where("id > least").select("id", "key", "lo", (F.col("lo") + DEPTH).alias("hi"))
-    ranges = table(marked.union(deep), "substring-ranges")
+    # two tables, so that a skewed join is split by itself
+    ranges = table(marked, "substring-ranges").union(table(deep, "substring-hot"))
     discard(rows)
-    return survey, candidates, ranges
+    collect_garbage(spark)
+    return survey, copies, candidates, ranges
 
 
 def _kept(text: bytes, ranges: list) -> tuple[int, bytes]:
@@ -173,7 +211,7 @@ def _kept(text: bytes, ranges: list) -> tuple[int, bytes]:
 
 def without_repeats(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """(survey, changed): all rows by id and key with n_words and sha; of texts that lose words, n_removed, kept (text) and its sha."""
-    survey, candidates, ranges = repeated_ranges(docs, **options)
+    survey, copies, candidates, ranges = repeated_ranges(docs, **options)
     own = ranges.groupBy("id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))  # at most the suffixes of one text
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +220,8 @@ def without_repeats(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
             yield pd.DataFrame({"id": pdf["id"], "key": pdf["key"], "n_removed": [n for n, _ in out], "kept": [k.decode("utf-8", "surrogatepass") for _, k in out], "sha_kept": [_sha(k) for _, k in out]})
 
     changed = candidates.select("id", "key", "text").join(own, ["id", "key"]).mapInPandas(cut, "id long, key long, n_removed long, kept string, sha_kept string")
-    return survey, changed
+    gone = copies.select("id", "key", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"), F.lit(_sha(b"")).alias("sha_kept"))
+    return survey, changed.union(gone)
 
 
 def substring_report(docs: DataFrame, **options) -> DataFrame:

@@ -347,6 +347,21 @@ def test_substring_dedup(docs, rows, options):
     assert sorted(map(tuple, substring_dedup.substring_report(docs, **options).collect()), key=str) == substring_brute(rows)
 
 
+def test_suffix_tree():
+    r = random.Random(5)
+    sequences = [" ".join(r.choice("ab") for _ in range(r.randint(8, 30))).encode() for _ in range(20)]
+    counts = np.array([s.count(b" ") + 1 - 7 for s in sequences])
+    tree = substring_dedup.SuffixTree(sequences, counts, 8)
+    suffixes = [tuple(s.split()[i : i + 8]) for s, n in zip(sequences, counts) for i in range(n)]
+    same = lambda x, y: next((k for k in range(8) if x[k] != y[k]), 8)
+    assert tree.shared.tolist() == [0] + [same(suffixes[i], suffixes[j]) for i, j in zip(tree.order, tree.order[1:])]
+    for depth in (1, 5, 8):
+        nodes = defaultdict(set)
+        for x, n in zip(suffixes, tree.nodes(depth).tolist()):
+            nodes[n].add(x[:depth])
+        assert all(len(v) == 1 for v in nodes.values()) and len(nodes) == len({x[:depth] for x in suffixes})
+
+
 def test_substring_without_rows(empty):
     assert substring_dedup.substring_report(empty).count() == 0
 
