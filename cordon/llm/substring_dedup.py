@@ -9,8 +9,8 @@ count, as their subtrees have no leaves of two documents; those shared by up to
 together to groups that fit a task. Each group gets its suffix tree, as a suffix array with the lengths of common
 beginnings, over words that are named by content; the topmost internal nodes of depth 50 or more are the
 repeats: leaves of all but the smallest doc_id are marked, and marked neighbours make maximal ranges. A prefix
-that too many stretches share is lengthened to the suffix's own 50 words (as a 128-bit hash), and its nodes are
-counted by map-side combined aggregation instead.
+that too many stretches share is lengthened: equal stretches (by a 128-bit hash) are put together, and what is
+left is dealt by each suffix's own 50 words, whose nodes are counted by map-side combined aggregation instead.
 
 Documents with the same words as one with a smaller doc_id lose them all without a tree, if they have 50.
 The words that marked suffixes cover are removed; marks are made on the input, never on what is left.
@@ -24,7 +24,7 @@ columns, whatever their names, are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .line_dedup import mix
 from .shared import NULL_ID, collect_garbage, discard, runtime_filter, table
-from .words import Words, runs, slices
+from .words import Words, chained, runs, slices
 
 DEPTH, PREFIX = 50, 16
 
@@ -78,15 +78,15 @@ def _texts(column: pd.Series) -> list[bytes]:
 
 def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        texts, out = _texts(pdf["text"]), []
+        texts = _texts(pdf["text"])
         for a, b in slices(texts):
-            w = Words(texts[a:b])
+            w, out = Words(texts[a:b]), []
             t, h, first, count, _ = prefixes(w)
             ends = np.searchsorted(t, np.arange(b - a + 1))
             for i in range(b - a):
                 x, y = ends[i], ends[i + 1]
                 out.append((int(w.last[i] - w.first[i]), _sha(_joined(w, w.first[i], w.last[i])), h[x:y].view(np.int64), first[x:y], count[x:y]))
-        yield pd.DataFrame({"id": pdf["id"], "key": pdf["key"], **dict(zip(("n_words", "sha", "h", "first", "count"), map(list, zip(*out)) if out else [[]] * 5))})
+            yield pd.DataFrame({"id": pdf["id"][a:b].to_numpy(), "key": pdf["key"][a:b].to_numpy(), **dict(zip(("n_words", "sha", "h", "first", "count"), map(list, zip(*out))))})
 
 
 class SuffixTree:
@@ -149,14 +149,14 @@ def _subtrees(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids[own], "key": pdf["key"].to_numpy()[own], "lo": lo, "hi": hi})
 
 
-def repeated_ranges(docs: DataFrame, group_rows: int = 16384, most_shared: int = 256) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def repeated_ranges(docs: DataFrame, group_rows: int = 8192, most_shared: int = 256) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(survey, copies, candidates, ranges): all rows with word counts, those that lose all words, texts with shared prefixes, and word ranges to remove."""
     spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
     base = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     survey = table(base.mapInPandas(_survey, "id long, key long, n_words long, sha string, h array<bigint>, first array<int>, count array<int>"), "substring-survey")
     whole = survey.where(F.col("n_words") >= DEPTH).select("id", "key", "n_words", "sha")
-    least = whole.groupBy("sha").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("sha", "least")
-    copies = table(whole.join(least, "sha").where("id > least").select("id", "key", "n_words").distinct(), "substring-copies")
+    least = whole.groupBy("sha").agg(F.min("id").alias("id"))
+    copies = table(whole.join(least, ["sha", "id"], "left_anti").select("id", "key", "n_words").distinct(), "substring-copies")
     each = survey.join(copies, ["id", "key"], "left_anti").select("id", "key", F.explode(F.arrays_zip("h", "first", "count")).alias("s")).select("id", "key", "s.*")
     shared = each.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("sharing")).where("a <> b").select("h", "sharing")
     shared = table(shared, "substring-shared")
@@ -170,35 +170,51 @@ def repeated_ranges(docs: DataFrame, group_rows: int = 16384, most_shared: int =
 
     def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts, out = _texts(pdf["text"]), []
-            rows = list(zip(pdf["id"], pdf["key"], pdf["s"]))
+            texts = _texts(pdf["text"])
+            rows = list(zip(pdf["id"], pdf["key"], pdf["h"], pdf["sharing"], pdf["first"], pdf["count"]))
+            # what a slice of texts gives is sent before the next one is read
             for a, b in slices(texts):
-                w = Words(texts[a:b])
+                w, out = Words(texts[a:b]), []
                 deep = [runs(w.hash, DEPTH), runs(mix(w.hash, 11), DEPTH)]
-                for i, (doc, key, own) in enumerate(rows[a:b]):
-                    for s in own:
-                        x, n = w.first[i] + s["first"], s["count"]
-                        if s["sharing"] <= most_shared:
-                            out.append((doc, key, s["h"], s["first"], n, _joined(w, x, x + n + DEPTH - 1), None, None))
+                for i, (doc, key, *own) in enumerate(rows[a:b]):
+                    for h, sharing, first, n in zip(*own):
+                        x = w.first[i] + first
+                        if sharing <= most_shared:
+                            out.append((doc, key, h, first, n, _joined(w, x, x + n + DEPTH - 1), None, None, 0, 0))
                         else:
-                            out.append((doc, key, s["h"], s["first"], n, None, *(d[x : x + n].view(np.int64) for d in deep)))
-            yield pd.DataFrame(out, columns=["id", "key", "h", "first", "count", "words", "d1", "d2"])
+                            # its first and last 50 words are all of a stretch
+                            whole = [int(chained(d[x : x + 1], d[x + n - 1 : x + n], 60 + int(n)).view(np.int64)[0]) for d in deep]
+                            out.append((doc, key, h, first, n, None, *(d[x : x + n].view(np.int64) for d in deep), *whole))
+                yield pd.DataFrame(out, columns=["id", "key", "h", "first", "count", "words", "d1", "d2", "c1", "c2"])
 
-    rows = table(candidates.select("id", "key", "text", "s").mapInPandas(stretches, "id long, key long, h long, first int, count int, words binary, d1 array<bigint>, d2 array<bigint>"), "substring-stretches")
+    own = [F.col(f"s.{c}").alias(c) for c in ("h", "sharing", "first", "count")]
+    rows = table(candidates.select("id", "key", "text", *own).mapInPandas(stretches, "id long, key long, h long, first int, count int, words binary, d1 array<bigint>, d2 array<bigint>, c1 long, c2 long"), "substring-stretches")
     cold = rows.where("words is not null")
     groups = max(1, -(-cold.count() // group_rows))
     marked = cold.withColumn("group", F.pmod("h", F.lit(groups))).groupBy("group").applyInPandas(_subtrees, "id long, key long, lo int, hi int")
-    hot = rows.where("words is null").select("id", "key", "first", F.posexplode(F.arrays_zip("d1", "d2")).alias("at", "d")).select("id", "key", (F.col("first") + F.col("at")).alias("lo"), "d.d1", "d.d2")
-    least = hot.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("d1", "d2", "least")
-    deep = hot.join(least, ["d1", "d2"]).where("id > least").select("id", "key", "lo", (F.col("lo") + DEPTH).alias("hi"))
-    # two tables, so that a skewed join is split by itself
-    ranges = table(marked, "substring-ranges").union(table(deep, "substring-hot"))
-    discard(rows)
+    hot = rows.where("words is null")
+    # equal stretches first: all but those of the smallest id are marked as wholes; no join has a hot key, as ids are in it
+    one = hot.groupBy("c1", "c2").agg(F.min("id").alias("id"))
+    same = hot.select("id", "key", "first", "count", "c1", "c2").join(one, ["c1", "c2", "id"], "left_anti").select("id", "key", F.col("first").alias("lo"), (F.col("first") + F.col("count") - 1 + DEPTH).alias("hi"))
+    hot = table(hot.join(one, ["c1", "c2", "id"], "left_semi"), "substring-distinct")
+    windows = hot.select("id", "key", "first", F.posexplode(F.arrays_zip("d1", "d2")).alias("at", "d")).select("id", "key", "first", "at", "d.d1", "d.d2")
+    least = windows.groupBy("d1", "d2").agg(F.min("id").alias("id"))
+    # of the others the leaves that stay are found, by node and id
+    stay = windows.join(least, ["d1", "d2", "id"], "left_semi").groupBy("id", "key", "first").agg(F.collect_set("at").alias("stay"))  # at most the windows of a stretch
+    deep = hot.select("id", "key", "first", "count").join(stay, ["id", "key", "first"], "left")
+    gone = F.filter(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.col("stay").isNull() | ~F.array_contains("stay", i))
+    heads = F.filter("gone", lambda i: ~F.array_contains("gone", i - 1))
+    tails = F.filter("gone", lambda i: ~F.array_contains("gone", i + 1))
+    deep = deep.withColumn("gone", gone).select("id", "key", "first", F.explode(F.arrays_zip(heads.alias("lo"), tails.alias("hi"))).alias("r"))
+    deep = deep.select("id", "key", (F.col("first") + F.col("r.lo")).alias("lo"), (F.col("first") + F.col("r.hi") + DEPTH).alias("hi"))
+    # tables of their own, so that a skewed join is split by itself
+    ranges = table(marked, "substring-ranges").union(table(deep, "substring-hot")).union(table(same, "substring-same"))
+    discard(rows, hot)
     collect_garbage(spark)
     return survey, copies, candidates, ranges
 
 
-def _kept(text: bytes, ranges: list) -> tuple[int, bytes]:
+def _kept(text: bytes, ranges: Iterable[tuple[int, int]]) -> tuple[int, bytes]:
     """How many words the ranges cover, and the other words joined by one space."""
     words = text.split()
     edge = np.zeros(len(words) + 1, np.int64)
@@ -216,10 +232,10 @@ def without_repeats(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [_kept(t, [(x["lo"], x["hi"]) for x in r]) for t, r in zip(_texts(pdf["text"]), pdf["r"])]
+            out = [_kept(t, zip(lo, hi)) for t, lo, hi in zip(_texts(pdf["text"]), pdf["lo"], pdf["hi"])]
             yield pd.DataFrame({"id": pdf["id"], "key": pdf["key"], "n_removed": [n for n, _ in out], "kept": [k.decode("utf-8", "surrogatepass") for _, k in out], "sha_kept": [_sha(k) for _, k in out]})
 
-    changed = candidates.select("id", "key", "text").join(own, ["id", "key"]).mapInPandas(cut, "id long, key long, n_removed long, kept string, sha_kept string")
+    changed = candidates.select("id", "key", "text").join(own.select("id", "key", "r.lo", "r.hi"), ["id", "key"]).mapInPandas(cut, "id long, key long, n_removed long, kept string, sha_kept string")
     gone = copies.select("id", "key", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"), F.lit(_sha(b"")).alias("sha_kept"))
     return survey, changed.union(gone)
 
