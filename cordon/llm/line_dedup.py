@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import NULL_ID, SPACES, ascii_lower, collect_garbage, discard, table
+from .shared import NULL_ID, SPACES, ascii_lower, collect_garbage, discard, small_batches, table
 
 U64 = np.uint64
 
@@ -187,6 +187,7 @@ def _prober(spark, index: DataFrame, group: list[int], shards: int):
 def marked_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keys_per_shard: int = 65536, broadcast_bytes: int = 128 << 20) -> DataFrame:
     """docs with two columns more: `__lines`, the lines of the text, and `__drop`, a flag for each."""
     spark = docs.sparkSession
+    small_batches(spark)
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     with_lines = docs.withColumn("__lines", lines)
     keyed = with_lines.withColumn("__keys", F.transform("__lines", line_key)).withColumn("__id", F.coalesce("doc_id", F.lit(NULL_ID)))

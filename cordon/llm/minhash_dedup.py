@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .line_dedup import U64, mix
-from .shared import NULL_ID, collect_garbage, components, discard, free_name, runtime_filter, table
+from .shared import NULL_ID, collect_garbage, components, discard, free_name, runtime_filter, small_batches, table
 from .words import Words, chained, runs, slices
 
 SHINGLE = 5
@@ -45,7 +45,7 @@ _DRAWS = 1 << 16
 #: A word in fewer than one of so many documents has the largest idf.
 RARE = 1024
 #: Texts and bytes of a block of a mixed bucket, and shared weights summed at once.
-BLOCK, BLOCK_BYTES, COLUMNS = 256, 8 << 20, 2048
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 2 << 20, 1024
 #: Texts and bytes that are compared with one copy of a pivot.
 STAR, STAR_BYTES = 512, 16 << 20
 
@@ -313,6 +313,7 @@ def _members(own: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 12, rows: int = 4) -> DataFrame:
     """id, class_id for each row of docs; class_id is the smallest id among the texts that links reach."""
     spark = docs.sparkSession
+    small_batches(spark)
     idf = spark.sparkContext.broadcast(idf_table(document_frequencies(docs)))  # BUCKETS floats
     signed = table(signatures(docs, idf, bands, rows), "near-signatures")
     # a vertex is a distinct text

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: The kind of model whose scores are log probabilities.
@@ -42,8 +44,8 @@ NEVER, PENALTY = -1e8, 10.0
 #: Chunks up to this many bytes are searched side by side.
 SHORT = 48
 #: Texts are coded in slices of about so many characters; the pieces of so many chunks are kept for reuse.
-SLICE = 1 << 20
-CACHED = 400_000
+SLICE = 1 << 18
+CACHED = 100_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -331,6 +333,7 @@ def encode(docs: DataFrame, pieces: Pieces, column: str = "text", to: str = "pie
 
     Batches go through in slices of text, so a worker holds little more than what comes in at once.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(pieces)  # as large as the vocabulary
     taken = {to.lower(), (check or to).lower()}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == column or c.lower() not in taken])

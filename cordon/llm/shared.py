@@ -26,6 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows that a Python worker is sent at once, so that a batch of texts stays small beside the worker itself.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark send Python workers BATCH_ROWS rows at once, or fewer if the session says so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read from there: later plans restart from files, not from lineage."""
     spark = df.sparkSession

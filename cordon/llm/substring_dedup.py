@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import mix
-from .shared import NULL_ID, collect_garbage, discard, runtime_filter, table
+from .shared import NULL_ID, collect_garbage, discard, runtime_filter, small_batches, table
 from .words import Words, chained, runs, slices
 
 DEPTH, PREFIX = 50, 16
@@ -152,6 +152,7 @@ def _subtrees(pdf: pd.DataFrame) -> pd.DataFrame:
 def repeated_ranges(docs: DataFrame, group_rows: int = 8192, most_shared: int = 256) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(survey, copies, candidates, ranges): all rows with word counts, those that lose all words, texts with shared prefixes, and word ranges to remove."""
     spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
+    small_batches(spark)
     base = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     survey = table(base.mapInPandas(_survey, "id long, key long, n_words long, sha string, h array<bigint>, first array<int>, count array<int>"), "substring-survey")
     whole = survey.where(F.col("n_words") >= DEPTH).select("id", "key", "n_words", "sha")

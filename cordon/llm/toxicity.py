@@ -34,11 +34,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, free_name, table
+from .shared import discard, free_name, small_batches, table
 from .words import Words, slices
 
 #: Examples of a block, and the neighbours that vote.
-BLOCK, NEAREST = 128, 15
+BLOCK, NEAREST = 256, 15
 #: A vote is the similarity to this power.
 SHARPNESS = 2
 _NO_WORD = re.compile(r"[^\w\s]+")
@@ -232,6 +232,7 @@ def _document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarra
 
 def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_clean: int = 2000) -> Scorer:
     spark = docs.sparkSession
+    small_batches(spark)
     labelled = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     total = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     prior = total.get(1, 0) / max(1, sum(total.values()))

@@ -8,8 +8,8 @@ import numpy as np
 
 from .line_dedup import U64, mix
 
-#: Texts are hashed in slices of about so many bytes.
-SLICE = 1 << 20
+#: Texts are hashed in slices of about so many bytes; a word's hash takes some fifty bytes for each of them.
+SLICE = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _VALUE = mix(np.arange(256, dtype=np.uint64), 77) | U64(1)
