@@ -87,6 +87,10 @@ class StreamGuard:
         return out
 
 
+#: Chunks of a stream that may wait for their turn.
+MOST_EARLY = 4096
+
+
 @dataclass
 class _Stream:
     """A key's state: its guard, chunks that came before their turn, and up to three bytes of a character cut in two."""
@@ -97,19 +101,33 @@ class _Stream:
     decoder: object = field(default_factory=lambda: codecs.getincrementaldecoder("utf-8")("strict"))
     over: bool = False
 
-    def __getstate__(self):
-        return {**self.__dict__, "decoder": self.decoder.getstate()}
+    def dump(self) -> bytes:
+        """What a state store keeps: where the stream is, and never the policy, the detectors or the key. Of a stream that is over nothing but that."""
+        if self.over:
+            return b""
+        c, g = self.guard.cutter, self.guard
+        return pickle.dumps((self.next_seq, self.early, self.decoder.getstate(), c.buffer, c.base, c.checked, c.first, g.seg_no, g.reported))
 
-    def __setstate__(self, state):
-        decoder = codecs.getincrementaldecoder("utf-8")("strict")
-        decoder.setstate(state["decoder"])
-        self.__dict__.update(state, decoder=decoder)
+    @classmethod
+    def load(cls, raw: bytes, guard: StreamGuard) -> _Stream:
+        out = cls(guard)
+        if not raw:
+            out.over = True
+            return out
+        c = guard.cutter
+        out.next_seq, out.early, decoder, c.buffer, c.base, c.checked, c.first, guard.seg_no, guard.reported = pickle.loads(raw)
+        out.decoder.setstate(decoder)
+        return out
 
     def take(self, seq: int, data, eos: bool) -> list[tuple]:
         out: list[tuple] = []
         if self.over or seq < self.next_seq:
             return out
         self.early[seq] = (data, eos)
+        if len(self.early) > MOST_EARLY and self.next_seq not in self.early:
+            self.over = True
+            self.early.clear()
+            return [(self.guard.seg_no, 0, "error", BAD_INPUT, f"more than {MOST_EARLY} chunks came before their turn", [])]
         while not self.over and self.next_seq in self.early:
             data, eos = self.early.pop(self.next_seq)
             self.next_seq += 1
@@ -144,16 +162,19 @@ def guard_stream(
     """Events of each stream of chunks (stream_id, seq from 0, text as string or binary, eos), append mode.
 
     Chunks may come out of order and more than once; each waits for its turn. State is bounded by a window and
-    by what came early. Nothing is ever released by a timeout. Text that is not UTF-8 ends its stream with an
-    `error` event before any of that chunk is pushed.
+    by what came early (MOST_EARLY chunks; more end the stream with an `error` event). It holds neither policy nor
+    detectors nor key, so a configuration may change between runs. Of a stream that is over an empty state is left,
+    which tells late copies of its chunks. Nothing is ever released by a timeout. Text that is not UTF-8 ends its
+    stream with an `error` event before any of that chunk is pushed.
     """
     policy, detectors = policy or Policy(Rules.builtin()), Detectors(allow or Allow(), custom or {}, corsica)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stream = pickle.loads(state.get[0]) if state.exists else _Stream(StreamGuard.of(policy, detectors, sizes=sizes or Sizes(), mode=mode, hmac_key=hmac_key))
+        guard = StreamGuard.of(policy, detectors, sizes=sizes or Sizes(), mode=mode, hmac_key=hmac_key)
+        stream = _Stream.load(state.get[0], guard) if state.exists else _Stream(guard)
         rows = sorted(((int(s), t, bool(e)) for pdf in batches for s, t, e in zip(pdf["seq"], pdf["text"], pdf["eos"])), key=lambda x: x[0])
         out = [event for row in rows for event in stream.take(*row)]
-        state.update((pickle.dumps(stream),))
+        state.update((stream.dump(),))
         yield pd.DataFrame([(key[0], *e) for e in out], columns=["stream_id", "seg_no", "ord", "kind", "n", "text", "findings"])
 
     grouped = chunks.selectExpr("CAST(stream_id AS STRING) AS stream_id", "seq", "text", "coalesce(eos, false) AS eos").groupBy("stream_id")

@@ -189,6 +189,26 @@ def test_chunks_in_any_order_and_twice():
     assert [e for row in rows + rows for e in one.take(*row)] == _make().take(0, raw, True)
 
 
+def test_stored_state_goes_on_without_the_key():
+    r = made.rng(7)
+    raw = f"{made.prose(r, 700)} {made.card(r)} {made.prose(r, 100)}".encode()
+    rows = [(i, raw[9 * i : 9 * i + 9], 9 * i + 9 >= len(raw)) for i in range(-(-len(raw) // 9))]
+    r.shuffle(rows)
+    out, kept = [], None
+    for row in rows + rows[:5]:
+        one = _make() if kept is None else _Stream.load(kept, _make().guard)
+        out += one.take(*row)
+        kept = one.dump()
+        assert b"key of the streams" not in kept
+    assert out == _make().take(0, raw, True) and kept == b""
+
+
+def test_too_many_chunks_before_their_turn():
+    one = _make()
+    out = [e for i in range(1, 5000) for e in one.take(i, "x", False)]
+    assert [e[2] for e in out] == ["error"] and one.over and not one.early
+
+
 @pytest.mark.parametrize("data,eos,why", [(b"abc\xff", True, "not valid"), (b"abc\xc3", True, "inside")])
 def test_bad_utf8(data, eos, why):
     out = _make().take(0, data, eos)
