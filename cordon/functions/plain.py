@@ -1,7 +1,6 @@
-"""The detectors in plain Python, for streams' state functions and single strings.
+"""The detectors in plain Python: Arrow batches of texts, streams' state functions and single strings run these.
 
-Batches use the same patterns and rules as Columns (`operators.detectors`); the tests hold the two against
-each other.
+`operators.detectors` has the same patterns and rules as Columns; the tests hold the two against each other.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from . import values as V
 
 _RE = {k: re.compile(p, re.A) for k, p in V.PATTERNS.items()}
 _GATES = {k: re.compile(p, re.A) for k, p in V.GATES.items()}
+_ANY = re.compile(V.ANY, re.A)
 _STRIP = re.compile(r"[^0-9A-Za-z<]")
 _DIGITS = re.compile(r"[^0-9]")
 
@@ -142,15 +142,34 @@ class Detectors:
     #: Names and patterns of further identifiers, category employee_ref.
     custom: dict[str, str] = field(default_factory=dict)
     corsica: str = "double"
+    #: Built-in detectors to run; all of them for None.
+    only: tuple[str, ...] | None = None
 
     def __post_init__(self):
         self._custom = {k: re.compile(p) for k, p in sorted(self.custom.items())}
+        self._kinds = [(i, k, p) for i, (k, p) in enumerate(_RE.items()) if self.only is None or k in self.only]
 
     def scan(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, id, category) in characters of the shadow text, by start and end."""
-        out = []
-        for kind, pattern in _RE.items():
-            for m in pattern.finditer(text):
+        return [m[:4] for m in self.matches(text)]
+
+    def matches(self, text: str) -> list[tuple[int, int, str, str, int]]:
+        """The same with the place of the detector among all, which orders equal ones.
+
+        No built-in pattern matches a line feed, so only lines that may hold an identifier are searched.
+        """
+        out, at = [], 0
+        while m := _ANY.search(text, at):
+            lo, hi = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+            at = hi = len(text) if hi < 0 else hi
+            self._line(text, lo, hi, out)
+        for i, (name, pattern) in enumerate(self._custom.items()):
+            out += [(m.start(), m.end(), name, "employee_ref", len(_RE) + i) for m in pattern.finditer(text) if m.end() > m.start()]
+        return sorted(out, key=lambda d: (d[0], d[1], d[4]))
+
+    def _line(self, text: str, lo: int, hi: int, out: list) -> None:
+        for i, kind, pattern in self._kinds:
+            for m in pattern.finditer(text, lo, hi):
                 end, s = m.end(), _STRIP.sub("", m[0])
                 if kind == "email":
                     ok = not email_allowed(m[0], self.allow)
@@ -172,10 +191,7 @@ class Detectors:
                 else:
                     ok = globals()[kind](s)
                 if ok:
-                    out.append((m.start(), end, V.IDS[kind], V.CATEGORY_OF[kind]))
-        for name, pattern in self._custom.items():
-            out += [(m.start(), m.end(), name, "employee_ref") for m in pattern.finditer(text) if m.end() > m.start()]
-        return sorted(out, key=lambda d: d[:2])
+                    out.append((m.start(), end, V.IDS[kind], V.CATEGORY_OF[kind], i))
 
 
 def fingerprint(key: bytes, match: str) -> str:

@@ -1,4 +1,6 @@
-"""Detectors as a plan: pattern matches with their positions, then check digits, gates and allowlists on those few rows.
+"""Detectors: `scan` in one Arrow pass over texts, and the same as a plan of Columns.
+
+In the plan pattern matches come with their positions, then check digits, gates and allowlists on those few rows.
 
 Each pattern is matched once; only texts with a match are split for positions. Matches become rows before any
 validator runs, so validators see candidates, not texts. Everything stays in the JVM.
@@ -8,17 +10,17 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import checks
+from ..functions import checks, plain
 from ..functions import values as V
 from ..functions.plain import Allow
-from ..functions.shadow import needs_shadow, with_shadow
+from ..functions.shadow import needs_shadow, shadow, with_shadow
 from ..plans.rules import checked_pattern
 
-#: A text without any of these has no built-in identifier.
-ANY = r"@|[0-9][ -]?[0-9]|[A-Z0-9<]{9}"
+ANY = V.ANY
 _DIGITS = "[^0-9]"
 
 
@@ -36,11 +38,6 @@ def email_allowed(match: Column, allow: Allow) -> Column:
     return out | F.exists(F.array(*[F.lit(d) for d in under]), lambda d: (domain == d) | F.endswith(domain, F.concat(F.lit("."), d)))
 
 
-def without_allowed(candidates: DataFrame, allowed: DataFrame, value: Column, allowed_value: Column) -> DataFrame:
-    """candidates whose `value` is not in a table of allowed ones; for allowlists too long for literals."""
-    return candidates.withColumn("__v", value).join(allowed.select(allowed_value.alias("__v")).distinct(), "__v", "left_anti").drop("__v")
-
-
 def phone_valid(kind: Column, match: Column, allow: Allow) -> Column:
     d = F.regexp_replace(match, _DIGITS, "")
     n, at = F.length(d), lambda i, k: F.substring(d, i + 1, k)
@@ -131,6 +128,13 @@ def candidates(df: DataFrame, text: Column, detectors: list[str] | None = None,
     return found[0].unionByName(found[1]) if len(found) > 1 else found[0]
 
 
+def scan_columns(df: DataFrame, text: str = "text", detectors: list[str] | None = None, allow: Allow | None = None, custom: dict[str, str] | None = None, corsica: str = "double") -> DataFrame:
+    """scan() by built-in expressions alone, but for the shadow of odd texts; slower, as the pattern engine is."""
+    keep = [c for c in df.columns if c != text]
+    found = detect(with_shadow(df.select(*keep, text).where(F.col(text).isNotNull()), text).drop(text), "__shadow", detectors, allow, custom, corsica)
+    return found.select(*keep, "id", "category", "ord", "start", "end")
+
+
 def detect(df: DataFrame, shadow: str, detectors: list[str] | None = None, allow: Allow | None = None, custom: dict[str, str] | None = None, corsica: str = "double") -> DataFrame:
     """df (with a struct column `shadow`) with one row for each detection, and without the text.
 
@@ -164,11 +168,27 @@ def detect(df: DataFrame, shadow: str, detectors: list[str] | None = None, allow
     )
 
 
+_HITS = "array<struct<id:string,category:string,ord:int,start:bigint,`end`:bigint>>"
+
+
 def scan(df: DataFrame, text: str = "text", detectors: list[str] | None = None, allow: Allow | None = None, custom: dict[str, str] | None = None, corsica: str = "double") -> DataFrame:
-    """Detections in whole texts: df without the text, with id, category, start and end (bytes). Null texts have none."""
+    """Detections in whole texts: df without the text, with id, category, start and end (bytes). Null texts have none.
+
+    One Arrow pass, which sends back nothing but what it found; most lines drop out at its first search.
+    """
+    own = plain.Detectors(allow or Allow(), {k: checked_pattern(k, p) for k, p in (custom or {}).items()}, corsica, None if detectors is None else tuple(detectors))
+
+    @F.pandas_udf(_HITS)
+    def hits(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            s, first, end = shadow(t)
+            # bytes before a character, where the shadow is the text
+            at = (lambda n: n) if s.isascii() else lambda n: len(s[:n].encode("utf-8", "surrogatepass"))  # noqa: B023
+            out.append([(k, c, i, first[a] if first else at(a), end[b - 1] if end else at(b)) for a, b, k, c, i in own.matches(s)])
+        return pd.Series(out, dtype=object)
+
     keep = [c for c in df.columns if c != text]
     base = df.select(*keep, text).where(F.col(text).isNotNull())
-    if not custom:
-        base = base.where(may_hold(F.col(text)))
-    found = detect(with_shadow(base, text).drop(text), "__shadow", detectors, allow, custom, corsica)
-    return found.select(*keep, "id", "category", "ord", "start", "end")
+    found = base.select(*keep, F.explode(hits(text)).alias("__hit"))
+    return found.select(*keep, "__hit.*")

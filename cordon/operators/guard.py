@@ -9,15 +9,16 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import plain
 from ..functions.plain import Allow
+from ..functions.shadow import shadow
 from ..functions.windows import Sizes, windows
-from ..plans.rules import Policy, Rules
-from .detectors import ANY, detect, may_hold
+from ..plans.rules import Policy, Rules, checked_pattern
+from .detectors import ANY
 
 _INTS = T.ArrayType(T.IntegerType())
 _SHADOW = T.StructType([T.StructField("text", T.StringType()), T.StructField("first", _INTS), T.StructField("end", _INTS)])
@@ -51,16 +52,33 @@ def segments(df: DataFrame, text: str = "text", sizes: Sizes | None = None, only
     return rows.select(*keep, "__w.*")
 
 
-def _fingerprints(key: bytes | None, found: Column) -> Column:
-    """Keyed digests; the key travels inside the function, never as a literal of the plan."""
-    if key is None:
-        return F.lit(None).cast("string")
+_FOUND = "array<struct<seg_no:int,win_start:bigint,ord:int,id:string,category:string,start:bigint,`end`:bigint,fingerprint:string>>"
 
-    @F.pandas_udf(T.StringType())
-    def fingerprint(matches: pd.Series) -> pd.Series:
-        return matches.map(lambda m: plain.fingerprint(key, m))
 
-    return fingerprint(found)
+def _found(sizes: Sizes, own: plain.Detectors, hmac_key: bytes | None):
+    """Windows of a text and the detections in each; the key travels inside the function, never as a literal of the plan."""
+    wanted = None if own.custom else re.compile(ANY)
+
+    @F.pandas_udf(_FOUND)
+    def found(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            rows = []
+            if wanted and not wanted.search(shadow(t)[0]):
+                out.append(rows)
+                continue
+            for i, w in enumerate(windows(t, sizes)):
+                if wanted and not wanted.search(w.text):
+                    continue
+                for a, b, id_, category, n in own.matches(w.text):
+                    start, end = w.span(a, b)
+                    # a match that touches the open end is judged in the next window, with all its context
+                    if w.last or b < len(w.text) or start < w.start + w.release:
+                        rows.append((i, w.start, n, id_, category, start, end, None if hmac_key is None else plain.fingerprint(hmac_key, w.text[a:b])))
+            out.append(rows)
+        return pd.Series(out, dtype=object)
+
+    return found
 
 
 def findings(
@@ -79,21 +97,13 @@ def findings(
     A finding that several windows show is reported by the first of them. It never holds the text it flags.
     """
     policy = policy or Policy(Rules.builtin())
-    # windows are cut in Python, so texts without any chance of a finding are left out before
-    base = df.select(key, text) if custom else df.select(key, text).where(may_hold(F.col(text)))
-    windows_ = segments(base, text, sizes, None if custom else ANY)
-    found = detect(windows_, "shadow", None, allow, custom, corsica)
-    # a match that touches the open end is judged in the next window, with all its context
-    open_end = ~F.col("is_last") & (F.col("__to") == F.col("__length")) & (F.col("win_start") + F.col("start") >= F.col("release"))
-    rules = F.broadcast(policy.table(df.sparkSession))
-    rows = found.where(~open_end).join(rules.drop("ord"), "category").where("rank > 0")
-    rows = rows.select(
-        key,
-        (F.col("win_start") + F.col("start")).alias("start"),
-        (F.col("win_start") + F.col("end")).alias("end"),
-        F.concat(F.lit("local:"), "id").alias("source"),
-        F.struct("seg_no", "win_start", "ord", "action", "category", "citations", _fingerprints(hmac_key, F.col("__found")).alias("fingerprint")).alias("f"),
-    )
+    # one Arrow pass, which gives back findings alone
+    base = df.select(key, text).where(F.col(text).isNotNull())
+    own = plain.Detectors(allow or Allow(), {k: checked_pattern(k, p) for k, p in (custom or {}).items()}, corsica)
+    found = base.select(key, F.explode(_found(sizes or Sizes(), own, hmac_key)(F.col(text))).alias("x")).select(key, "x.*")
+    rules = F.broadcast(policy.table(df.sparkSession))  # a row for each category
+    rows = found.join(rules.drop("ord"), "category").where("rank > 0")
+    rows = rows.select(key, "start", "end", F.concat(F.lit("local:"), "id").alias("source"), F.struct("seg_no", "win_start", "ord", "action", "category", "citations", "fingerprint").alias("f"))
     once = rows.groupBy(key, "start", "end", "source").agg(F.min("f").alias("f"))
     return once.select(key, "f.seg_no", "f.win_start", "f.ord", "f.action", "f.category", "source", "start", "end", F.lit(None).cast("float").alias("probability"), "f.citations", "f.fingerprint")
 

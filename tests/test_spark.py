@@ -76,10 +76,11 @@ def texts(spark):
     return spark.createDataFrame([*_texts(), (900, None), (901, "")], "doc_id long, text string")
 
 
-def test_scan_is_the_plain_scan(spark, texts):
+@pytest.mark.parametrize("scan", [detectors.scan, detectors.scan_columns])
+def test_scan_is_the_plain_scan(spark, texts, scan):
     own = Detectors(custom=CUSTOM)
     got: dict = {}
-    for r in detectors.scan(texts, custom=CUSTOM).collect():
+    for r in scan(texts, custom=CUSTOM).collect():
         got.setdefault(r.doc_id, []).append((r.start, r.end, r.id, r.category))
     for i, text in _texts():
         s, first, end = shadow(text)
