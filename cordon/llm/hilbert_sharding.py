@@ -17,7 +17,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import positions
+from .shared import discard, free_name, positions, table
 
 
 def with_hilbert(df: DataFrame, cells: list[Column], bits: int, name: str) -> DataFrame:
@@ -74,16 +74,17 @@ def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
     return out
 
 
-def shard_rows(docs: DataFrame, dims: tuple[str, ...] = ("source", "lang", "size"), bits: int = 5, shards: int = 24, law: str = "rows") -> DataFrame:
+def shard_rows(docs: DataFrame, dims: tuple[str, ...] = ("source", "lang", "size"), bits: int = 5, shards: int = 24, law: str = "rows", row: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve for each row of docs.
 
     law `rows` cuts runs of equal row counts (at most one apart); `bytes` cuts where the running size passes
-    each equal share, so shards differ by about one text.
+    each equal share, so shards differ by about one text. `row`, a column that numbers the rows, is kept.
     """
+    own = [row] if row else []
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", *[d for d in dims if d != "size"], (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    keyed = with_hilbert(base, quantised(base, list(dims), bits), bits, "curve").select("doc_id", "size", "text_crc32", "curve")
-    order = ["curve", "doc_id", "text_crc32", "size"]
+    base = docs.select("doc_id", *own, *[d for d in dims if d != "size"], (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    keyed = with_hilbert(base, quantised(base, list(dims), bits), bits, "curve").select("doc_id", "size", "text_crc32", "curve", *own)
+    order = ["curve", "doc_id", "text_crc32", "size", *own]
     rows = positions(keyed, order, "hilbert", order)
     n = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
     if law == "rows":
@@ -103,10 +104,16 @@ def shard_rows(docs: DataFrame, dims: tuple[str, ...] = ("source", "lang", "size
         rows = rows.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("row_no") - F.col("_first"))
     else:
         raise ValueError(f"unknown law {law!r}")
-    return rows.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
-
-
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """docs as one folder of files per shard, in curve order inside each, for pruning by any of the dimensions."""
-    parts = docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id")
-    parts.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    return rows.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", *own)
+
+
+def write_shards(docs: DataFrame, path: str, **options) -> str:
+    """Writes docs as one folder of files per shard, in curve order inside each, for pruning by any of the dimensions;
+    every row once, whatever its doc_id. Returns the name of the folders' column: shard, or one that docs does not have."""
+    to, at, row = (free_name(docs, n) for n in ("shard", "slot", "row"))
+    numbered = table(docs.withColumn(row, F.monotonically_increasing_id()), "hilbert-docs")
+    assigned = shard_rows(numbered, row=row, **options).select(F.col(row), F.col("shard").alias(to), F.col("slot").alias(at))
+    parts = numbered.join(assigned, row).drop(row)
+    parts.repartitionByRange(to, at).sortWithinPartitions(to, at).drop(at).write.partitionBy(to).parquet(path)
+    discard(numbered)
+    return to

@@ -11,9 +11,9 @@ its rate rounded by a hash of its id. Built-in expressions only.
 
 Cases: a null or empty text has no tokens and the cell of empty texts; a null label is no label; of repeated
 labels of a doc_id the largest count; domains without a labelled document drop out and the other targets are
-scaled up; with no label at all there is one domain and every rate is the same; ties cannot occur; repeated
-rows get equal rates and copies; an empty table gives no rows; other columns, whatever their names, are kept
-by `mixed` and not read.
+scaled up; with no label at all there is one domain and every rate is the same; of equal posteriors the smaller
+domain is reported; very long texts are read whole, their words as one array; repeated rows get equal rates and
+copies; an empty table gives no rows; other columns, whatever their names, are kept by `mixed` and not read.
 """
 
 from __future__ import annotations

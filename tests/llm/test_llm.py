@@ -105,9 +105,12 @@ def test_shards(spark, docs, rows, law):
 
 def test_shards_without_rows_and_files(spark, docs, empty, tmp_path):
     assert hilbert_sharding.shard_rows(empty).count() == 0
-    known = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    hilbert_sharding.write_shards(known, hilbert_sharding.shard_rows(known, shards=3), f"{tmp_path}/out")
-    assert spark.read.parquet(f"{tmp_path}/out").groupBy("shard").count().count() == 3
+    # rows without an id, repeated rows and columns of the same names are kept as they are
+    mine = docs.withColumn("shard", F.lit("mine")).withColumn("slot", F.lit(7))
+    to = hilbert_sharding.write_shards(mine, f"{tmp_path}/out", shards=3)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert to == "_shard" and out.select(to).distinct().count() == 3 and out.where("shard <> 'mine' OR slot <> 7").count() == 0
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
 
 
 # --- 2
