@@ -586,18 +586,18 @@ def test_samples_agree_as_often_as_the_similarity():
 
 def test_block_max_search_is_exact():
     g = np.random.default_rng(6)
-    dense = g.random((700, 60)) * (g.random((700, 60)) < g.random(60) * 0.5)
+    dense = g.random((1500, 60)) * (g.random((1500, 60)) < g.random(60) * 0.5)
     dense[:, 0] += 0.01
     dense /= np.sqrt((dense**2).sum(1, keepdims=True))
     dense[300:320] = dense[5]
     row, term = np.nonzero(dense)
-    index = toxicity.BlockMaxIndex.build(row, term, dense[row, term], 700, 60)
+    index = toxicity.BlockMaxIndex.build(row, term, dense[row, term], 1500, 60)
     assert index.blocks > 4
     for i, q in enumerate(dense[:60]):
         sims = dense @ q
         terms = np.flatnonzero(q)
         for but in (-1, i):
-            order = [j for j in np.lexsort((np.arange(700), -sims.round(12))) if sims[j] > 0 and j != but][:10]
+            order = [j for j in np.lexsort((np.arange(1500), -sims.round(12))) if sims[j] > 0 and j != but][:10]
             rows, found = index.nearest(terms, q[terms], 10, but)
             assert rows.tolist() == order and np.allclose(found, sims[order])
 
