@@ -1,11 +1,13 @@
 """Operator 8: exact dedup by deterministic block naming.
 
 Each text (null: empty; A-Z lower-cased) is cut into blocks of fixed size. Equal blocks get one integer name:
-blocks are shuffled by a 64-bit hash with copies combined before the shuffle, sorted, and numbered. Names of
-adjacent blocks are then paired and each distinct pair is named in turn, so that after log2(blocks) rounds a
-document has one integer; the round is part of its identity, and an odd last name is paired with none. By
-induction two documents have the same identity only if all their blocks are equal: no collision. Blocks that
-share a hash are told apart by content, so the hash decides nothing.
+blocks are shuffled by a 64-bit hash with copies combined before the shuffle, sorted by it, and numbered. Names
+of adjacent blocks are then paired, and the distinct pairs are sorted and numbered in turn, so that after
+log2(blocks) rounds a document has one integer; the round is part of its identity, and an odd last name is
+paired with none. By induction two documents have the same identity only if all their blocks are equal: no
+collision. Blocks that share a hash are told apart, and sorted, by content, so the hash decides nothing. A name
+is a place in a sorted order of contents: it is the same in every run over the same texts, however they are
+dealt out. Sorting is by sampled ranges, so no task sees all names.
 
 Cases: a null or empty text is one empty block; very long texts take more rounds, and their rows spread over
 tasks by block; copies and repeated rows are combined before each shuffle; an empty table gives no rows; a
@@ -18,12 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NULL_ID, ascii_lower, collect_garbage, discard, table
+from .shared import NULL_ID, ascii_lower, collect_garbage, discard, positions, table
 
 
-def _named(keys: DataFrame, first_name: int = 0) -> DataFrame:
-    """keys (distinct rows, dealt out by an aggregation) with an integer name each, from first_name."""
-    return keys.withColumn("name", F.monotonically_increasing_id() + F.lit(first_name))
+def _named(keys: DataFrame, by: list[str], first_name: int = 0) -> DataFrame:
+    """keys (no two equal in `by`) with an integer name each: their place in the order of `by`, from first_name."""
+    placed = positions(keys, by, "blocks-names", keys.columns)
+    out = placed.withColumn("row_no", F.col("row_no") + F.lit(first_name)).withColumnRenamed("row_no", "name")
+    out._cordon_path = placed._cordon_path
+    return out
 
 
 def _blocks(raw: Column, n: Column, block: int) -> Column:
@@ -38,13 +43,13 @@ def identities(docs: DataFrame, text: Column, block: int = 8192, hash_of=F.xxhas
     rows = table(base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n", "text_sha256", F.transform("b", lambda x: hash_of(x)).alias("h")), "blocks-rows")
     # least and greatest content of each hash: they differ only where several blocks share it
     cut = base.select(F.explode("b").alias("b")).select(hash_of(F.col("b")).alias("h"), "b")
-    names = table(_named(cut.groupBy("h").agg((F.min("b") != F.max("b")).alias("shared"))), "blocks-names")
+    names = _named(cut.groupBy("h").agg((F.min("b") != F.max("b")).alias("shared")), ["h"])
     named = rows.select("rid", "doc_id", "n", "text_sha256", F.posexplode("h").alias("pos", "h")).join(names, "h")
     clash = names.where("shared").select("h")
     if clash.limit(1).count():
         own = base.select("doc_id", "text_sha256", F.posexplode("b").alias("pos", "b")).withColumn("h", hash_of(F.col("b"))).join(clash, "h", "left_semi")
-        ids = _named(own.groupBy("h", "b").agg(F.count("*").alias("c")), 1 << 61)
-        ids = table(own.join(table(ids, "blocks-clash"), ["h", "b"]).select("doc_id", "text_sha256", "pos", F.col("name").alias("exact")).distinct(), "blocks-clash")
+        ids = _named(own.select("h", "b").distinct(), ["h", "b"], 1 << 61)
+        ids = table(own.join(ids, ["h", "b"]).select("doc_id", "text_sha256", "pos", F.col("name").alias("exact")).distinct(), "blocks-clash")
         same = (named.doc_id.eqNullSafe(ids.doc_id)) & (named.text_sha256 == ids.text_sha256) & (named.pos == ids.pos)
         named = named.join(ids, same, "left").select("rid", "n", named.pos, F.coalesce("exact", "name").alias("name"))
     current = table(named.select("rid", "n", "pos", "name"), "blocks-level")
@@ -56,7 +61,7 @@ def identities(docs: DataFrame, text: Column, block: int = 8192, hash_of=F.xxhas
         even, name = F.col("pos") % 2 == 0, F.col("name")
         pairs = current.where(F.col("n") > 2**level).groupBy("rid", "n", F.expr("pos div 2").cast("int").alias("pos"))
         pairs = table(pairs.agg(F.max(F.when(even, name)).alias("a"), F.coalesce(F.max(F.when(~even, name)), F.lit(-1)).alias("b")), "blocks-pairs")
-        ids = table(_named(pairs.select("a", "b").distinct()), "blocks-names")
+        ids = _named(pairs.select("a", "b").distinct(), ["a", "b"])
         current = table(pairs.join(ids, ["a", "b"]).select("rid", "n", "pos", "name"), "blocks-level")
         discard(pairs, ids)
         level += 1

@@ -113,11 +113,9 @@ def positions(df: DataFrame, order: list[str], name: str, keep: list[str]) -> Da
     # one row per range, as many as there are shuffle partitions
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
     within = F.col("_at").bitwiseAND(F.lit(2**33 - 1))
-    return (
-        rows.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .select(*keep, (F.col("_start") + within).alias("row_no"))
-    )
+    out = rows.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*keep, (F.col("_start") + within).alias("row_no"))
+    out._cordon_path = rows._cordon_path  # it is read from there, until it is discarded
+    return out
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

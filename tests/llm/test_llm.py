@@ -483,6 +483,12 @@ def test_exact_dedup_does_not_trust_hashes(docs, rows):
     assert all(len(v) == 1 for v in names.values()) and len(names) == len({r.text_sha256 for r in ids})
 
 
+def test_block_names_do_not_depend_on_how_rows_are_dealt(docs):
+    text = shared.ascii_lower(F.col("text"))
+    one, other = ({(r.text_sha256, r.level, r["name"]) for r in exact_dedup.identities(d, text, 64).collect()} for d in (docs.coalesce(1), docs.repartition(7, "text")))
+    assert one == other
+
+
 def test_exact_dedup_without_rows(empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
