@@ -1,7 +1,7 @@
 """Operator 1: shards cut from a Hilbert curve through quantised metadata.
 
-Each metadata dimension is quantised to `bits` bits (numbers by quantiles, strings by a stable hash); the
-cells' Hilbert index orders the rows, so that rows near on the curve are near in every dimension; runs of
+Each metadata dimension is quantised to `bits` bits (numbers by quantiles of the rows, strings by their rank
+among the distinct values), so a cell is a range of values; the cells' Hilbert index orders the rows, so that rows near on the curve are near in every dimension; runs of
 that order become the shards. Files written in that order have narrow ranges in all dimensions at once.
 Built-in expressions only.
 
@@ -53,8 +53,26 @@ def _below(value: Column, edge: Column) -> Column:
     return edge < value
 
 
+def _up_to(value: Column, edge: Column) -> Column:
+    return edge.v <= value
+
+
+def _first_values(values: DataFrame, cells: int) -> list[tuple[int, str]]:
+    """(cell, its first value) where the distinct values (column v) are cut into cells of equal numbers of them.
+
+    The values are sorted by ranges and numbered; only one row for each cell comes back.
+    """
+    values = values.where(F.col("v").isNotNull()).distinct()
+    at = positions(values, ["v"], "hilbert-values", ["v"])
+    n = at.count()
+    cell = F.expr(f"row_no * {cells} div {max(n, 1)}").cast("int").alias("c")
+    out = sorted((r.c, r.v) for r in at.groupBy(cell).agg(F.min("v").alias("v")).collect())
+    discard(at)
+    return out
+
+
 def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
-    """A cell 0 .. 2^bits - 1 of each dimension: numbers by approximate quantiles of all rows, others by their crc."""
+    """A cell 0 .. 2^bits - 1 of each dimension: numbers by approximate quantiles of all rows, others as strings by their rank among the distinct ones."""
     kinds, cells = dict(df.dtypes), 2**bits
     numeric = [d for d in dims if kinds[d] in ("tinyint", "smallint", "int", "bigint", "float", "double")]
     cuts = {}
@@ -69,7 +87,10 @@ def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
             value = F.col(d)
             cell = F.when(value.isNotNull(), F.size(F.filter(edges, partial(_below, value))))
         else:
-            cell = F.pmod(F.crc32(F.col(d).cast("string").cast("binary")), F.lit(cells))
+            value = F.col(d).cast("string")
+            firsts = _first_values(df.select(value.alias("v")), cells)
+            edges = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(v).alias("v")) for c, v in firsts])
+            cell = F.element_at(F.filter(edges, partial(_up_to, value)), -1).c if firsts else F.lit(0)
         out.append(F.coalesce(cell.cast("long"), F.lit(0).cast("long")))
     return out
 
