@@ -6,9 +6,10 @@ doc_id. The keys that repeat enough are dealt to shards; each shard is a minimal
 arrays with ranks) onto compact arrays of fingerprints, counts and keepers. Documents then probe the arrays
 with the hashes of their own lines; no line is joined and no text is shuffled.
 
-The arrays go to executors in groups whose size is checked against `broadcast_bytes`. When one group holds
-them all, documents are read once; beyond that each further group is probed in a pass of its own over the
-line hashes, and the hits of a document come together by its row. Both ways give the same rows.
+Arrays of at most `broadcast_bytes` in all, a size that is checked, go to every executor, and documents are read
+once. Larger ones stay where they are: the hashes of all long lines go to their shard's task in one shuffle,
+behind the shard's arrays, and the hits of a document come together by its row. A shard with over a thousandth
+of all lines is dealt to several tasks, each with a copy of its arrays. Both ways give the same rows.
 
 Cases: a null or empty text is one empty line; a null doc_id is the smallest id; a key that a document
 repeats counts once for it, and the keeper keeps all its own repeats; an empty table gives no rows; other
@@ -151,20 +152,41 @@ def build_shards(repeated: DataFrame, keys_per_shard: int) -> tuple[DataFrame, i
     return table(keyed.groupBy("shard").applyInPandas(build, "shard long, blob binary, size long"), "lines-shards"), shards
 
 
-def _groups(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
-    out, room = [], 0
-    for shard, size in sorted(sizes):
-        if not out or room + size > most:
-            out.append([])
-            room = 0
-        out[-1].append(shard)
-        room += size
-    return out
-
-
-def _prober(spark, index: DataFrame, group: list[int], shards: int):
-    """A function of (id, key hashes) to the flags of the lines to drop, over the shards of one group, sent to the executors."""
-    blobs = {r.shard: r.blob for r in index.where(F.col("shard").isin(group)).collect()}  # at most broadcast_bytes
+def _sent_lines(lines: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """rid, pos of the lines to drop, of `lines` (rid, id, pos, h, g): lines travel to their shard's task, behind its arrays."""
+    lines = lines.withColumn("shard", F.shiftrightunsigned("h", 32) % shards)
+    sizes = lines.groupBy("shard").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    # fewer than a thousand shards
+    hot = F.broadcast(table(sizes.where(F.col("n") * 1000 > total).select("shard", F.expr(f"CAST(n * 1000 div {max(total, 1)} + 1 AS INT)").alias("salts")), "lines-hot"))
+    salts = F.coalesce("salts", F.lit(1))
+    # zeros, as nulls would turn long hashes into floats
+    zero = lambda kind, *names: [F.lit(0).cast(kind).alias(n) for n in names]
+    arrays = index.join(hot, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("side"), *zero("long", "rid", "id"), *zero("int", "pos"), *zero("long", "h", "g"), "blob")
+    dealt = lines.join(hot, "shard", "left").select("shard", F.pmod(F.xxhash64("rid", "pos"), salts).cast("int").alias("salt"), F.lit(1).alias("side"), "rid", "id", "pos", "h", "g", F.lit(None).cast("binary").alias("blob"))
+    rows = arrays.union(dealt).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "side")
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, own = None, None
+        for pdf in batches:
+            shard, side, out = pdf["shard"].to_numpy(), pdf["side"].to_numpy(), []
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(side) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
+                part = pdf.iloc[a:b]
+                if side[a] == 0:
+                    now, own = shard[a], LineShard.load(part["blob"].iloc[-1])
+                elif now == shard[a]:
+                    found, keeper = own.probe(part["h"].to_numpy(np.int64), part["g"].to_numpy(np.int64))
+                    out.append(part.loc[found & (keeper != part["id"].to_numpy(np.int64)), ["rid", "pos"]])
+            if out:
+                yield pd.concat(out).astype({"rid": "int64", "pos": "int32"})
+
+    return rows.mapInPandas(probe, "rid long, pos int")
+
+
+def _prober(spark, index: DataFrame, shards: int):
+    """A function of (id, key hashes) to the flags of the lines to drop, over all shards, sent to the executors."""
+    blobs = {r.shard: r.blob for r in index.collect()}  # at most broadcast_bytes
     sent = spark.sparkContext.broadcast(blobs)
 
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
@@ -198,20 +220,15 @@ def marked_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keys_p
     own = hashed.select(F.col("__id").alias("id"), F.array_distinct(F.filter(F.arrays_zip(F.col("__h").alias("h"), F.col("__g").alias("g")), lambda k: k.h != 0)).alias("hs"))
     repeated = table(repeated_lines(own, min_docs), "lines-repeated")
     index, shards = build_shards(repeated, keys_per_shard)
-    groups = _groups([(r["shard"], r["size"]) for r in index.select("shard", "size").collect()], broadcast_bytes)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    if len(groups) <= 1:
-        drop = _prober(spark, index, groups[0] if groups else [], shards)
+    if (index.agg(F.sum("size")).first()[0] or 0) <= broadcast_bytes:
+        drop = _prober(spark, index, shards)
         out = hashed.withColumn("__drop", drop("__id", "__h", "__g"))
     else:
         whole = table(hashed.withColumn("__rid", F.monotonically_increasing_id()), "lines-rows")
-        hits = None
-        for group in groups:
-            drop = _prober(spark, index, group, shards)
-            found = whole.select("__rid", drop("__id", "__h", "__g").alias("d")).select("__rid", F.posexplode("d").alias("pos", "d")).where("d").select("__rid", "pos")
-            found = table(found, "lines-hits")
-            hits = found if hits is None else hits.union(found)
-        hits = hits.groupBy(F.col("__rid").alias("r")).agg(F.collect_set("pos").alias("__at"))  # at most the lines of one text
+        own = whole.select("__rid", "__id", F.posexplode(F.arrays_zip(F.col("__h").alias("h"), F.col("__g").alias("g"))).alias("pos", "k"))
+        own = own.where("k.h <> 0").select(F.col("__rid").alias("rid"), F.col("__id").alias("id"), "pos", "k.h", "k.g")
+        hits = _sent_lines(own, index, shards).groupBy(F.col("rid").alias("r")).agg(F.collect_set("pos").alias("__at"))  # at most the lines of one text
         out = whole.join(hits, whole["__rid"] == hits.r, "left").withColumn("__drop", F.transform("__lines", lambda _, i: F.coalesce(F.array_contains("__at", i), F.lit(False))))
     discard(repeated)
     collect_garbage(spark)

@@ -113,6 +113,18 @@ def test_shards_without_rows_and_files(spark, docs, empty, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
 
 
+def test_files_of_shards_are_pruned_in_every_dimension(spark, tmp_path):
+    own = spark.range(12000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', CAST(pmod(xxhash64(id), 4000) AS INT))").alias("text"), F.expr("concat('src', pmod(xxhash64(id, 1), 20))").alias("source"), F.expr("element_at(array('de', 'en', 'es', 'fr'), CAST(pmod(xxhash64(id, 2), 4) + 1 AS INT))").alias("lang"))
+    hilbert_sharding.write_shards(own, f"{tmp_path}/pruned", shards=24)
+    out = spark.read.parquet(f"{tmp_path}/pruned").withColumn("size", F.length("text"))
+    ranges = out.groupBy("shard").agg(*[f(d).alias(f"{n}_{d}") for d in ("source", "lang", "size") for n, f in (("lo", F.min), ("hi", F.max))]).toPandas()
+    assert len(ranges) == 24
+    # shards that a filter on one value has to read, of all
+    wanted = {"source": [f"src{i}" for i in range(20)], "lang": ["de", "en", "es", "fr"], "size": list(range(100, 4000, 300))}
+    read = {d: np.mean([((ranges[f"lo_{d}"] <= v) & (ranges[f"hi_{d}"] >= v)).mean() for v in vs]) for d, vs in wanted.items()}
+    assert all(x < 0.6 for x in read.values()), read
+
+
 # --- 2
 
 def line_brute(rows, least=20, docs=3):
