@@ -453,6 +453,29 @@ def test_targets_are_met(spark):
     assert (bound.rate >= 1).all() and (bound.rate * bound.n_tokens).sum() < 1.35 * bound.n_tokens.sum()
 
 
+def test_rates_are_those_of_plain_projected_gradient(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    out = mixing.mixing_report(docs, labels).toPandas()
+    w = out.n_tokens.to_numpy(float) / out.n_tokens.sum()
+    p = np.array(out.posteriors.tolist())
+    goal, ridge = np.array([0.1, 0.9]), 1e-3
+    loss = lambda r: 0.5 * ((w * r @ p - goal) ** 2).sum() + 0.5 * ridge * (w * (r - 1) ** 2).sum()
+    best = np.ones(len(w))
+    for _ in range(5000):
+        best = np.maximum(0, best - 0.5 * (p @ (w * best @ p - goal) + ridge * (best - 1)))
+    assert loss(out.rate.to_numpy()) <= loss(best) + 1e-4
+    assert w * out.rate @ p == pytest.approx(w * best @ p, abs=5e-3)
+
+
+def test_domains_of_held_out_documents(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").dropDuplicates(["doc_id"])
+    out = mixing.mixing_report(docs, labels.where("doc_id % 5 <> 0")).join(labels.where("doc_id % 5 = 0 AND quality IS NOT NULL"), "doc_id").toPandas()
+    base = max(out.quality.mean(), 1 - out.quality.mean())
+    right = (out.domain == out.quality).mean()
+    assert right >= 0.95 or right > base + 0.5 * (1 - base), (right, base)
+
+
 def test_pipeline_reaches_its_mix_on_skewed_rows(spark, tmp_path):
     r, own, labels = random.Random(4), [], []
     for i in range(240):
