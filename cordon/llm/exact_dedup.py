@@ -43,7 +43,10 @@ def identities(docs: DataFrame, text: Column, block: int = 8192, hash_of=F.xxhas
     rows = table(base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n", "text_sha256", F.transform("b", lambda x: hash_of(x)).alias("h")), "blocks-rows")
     # least and greatest content of each hash: they differ only where several blocks share it
     cut = base.select(F.explode("b").alias("b")).select(hash_of(F.col("b")).alias("h"), "b")
-    names = _named(cut.groupBy("h").agg((F.min("b") != F.max("b")).alias("shared")), ["h"])
+    # written before they are sorted, as range bounds are sampled in a pass of their own
+    keys = table(cut.groupBy("h").agg((F.min("b") != F.max("b")).alias("shared")), "blocks-keys")
+    names = _named(keys, ["h"])
+    discard(keys)
     named = rows.select("rid", "doc_id", "n", "text_sha256", F.posexplode("h").alias("pos", "h")).join(names, "h")
     clash = names.where("shared").select("h")
     if clash.limit(1).count():
