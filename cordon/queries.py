@@ -69,7 +69,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{NOTES} AS text")
+    # dealt out as keys, before there are texts
+    return sources.spread(_read(spark, sf_dir, "customer").select("c_custkey")).selectExpr("c_custkey AS doc_id", f"{NOTES} AS text")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
